@@ -145,7 +145,14 @@ def fit(rows: list[tuple[str, int]], rounds: int = ROUNDS) -> ToxicityModel:
     _, at, back = np.unique(w.hashes(), return_index=True, return_inverse=True)
     feats, toxic = token_features(w, at), y[w.doc] > 0
 
-    # Documents of each class that have a feature, over the word and its beginnings.
+    # Documents of each class that have a feature, over the word and its beginnings. Toxic ones count no
+    # more than the feature has different neighbours there, so that copies of a text are no evidence.
+    h = w.hashes()
+    around = np.zeros(len(h), dtype=np.uint64)
+    near = w.doc[1:] == w.doc[:-1]
+    around[1:][near] = h[:-1][near]
+    around[:-1][near] += mix(h[1:][near])
+    around &= _U((1 << 40) - 1)
     mark = np.zeros(len(at), dtype=bool)
     n1, n0 = y.sum(), (1 - y).sum()
     for k in range(1 + len(_HEADS)):
@@ -153,6 +160,8 @@ def fit(rows: list[tuple[str, int]], rounds: int = ROUNDS) -> ToxicityModel:
         has, d = pair & ((1 << BITS) - 1), pair >> BITS
         a = np.bincount(has, weights=y[d], minlength=1 << BITS)
         b = np.bincount(has, weights=1 - y[d], minlength=1 << BITS)
+        contexts = np.unique((feats[back[toxic], k].astype(np.uint64) << _U(40)) | around[toxic]) >> _U(40)
+        a = np.minimum(a, np.bincount(contexts.astype(np.int64), minlength=1 << BITS))
         share = (a + b) / (n1 + n0)
         with np.errstate(divide="ignore", invalid="ignore"):
             ll = lambda o, e: np.where(o > 0, o * np.log(o / e), 0.0)
