@@ -42,7 +42,7 @@ from .common import Prefix, byte_view, mix, slices, written
 
 WIDTH = 200
 TRIGGER = 12
-UNIT_BYTES = 8 << 20
+UNIT_BYTES = 4 << 20
 _U = np.uint64
 
 
@@ -214,7 +214,7 @@ def find_repeats(docs: DataFrame, text: str = "text", width: int = WIDTH) -> Dat
     spark = docs.sparkSession
     others = [c for c in docs.columns if c != text]
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    units = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // UNIT_BYTES))
+    units = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // UNIT_BYTES))
     row = F.struct(*[F.col(f"`{c}`") for c in others]) if others else F.struct(F.lit(None).cast("int").alias("none"))
     d = docs.select(row.alias("row"), F.col(text).cast("string").alias("text"), F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns if not docs.schema[c].dataType.simpleString().startswith("map")]), F.lit(units)).alias("unit"))
 
@@ -241,8 +241,8 @@ def find_repeats(docs: DataFrame, text: str = "text", width: int = WIDTH) -> Dat
         key, more, asks_ = np.concatenate(one), np.concatenate(two), np.concatenate(asks)
         return _dealt(_unique(key, more, asks_), _unit_of(t) if t.num_rows else 0, units)
 
-    by_unit = d.groupBy("unit")
-    second = d.select("unit", "text").groupBy("unit").cogroup(first.where(F.col("kind").isin(SUPPORTS, ASKING)).groupBy("unit")).applyInArrow(send_windows, _DEALT).groupBy("bucket").applyInArrow(_settle_windows, _REPLY)
+    by_unit = d.groupBy("unit")  # the same in both passes below, so that the texts are shuffled once for both
+    second = by_unit.cogroup(first.where(F.col("kind").isin(SUPPORTS, ASKING)).groupBy("unit")).applyInArrow(send_windows, _DEALT).groupBy("bucket").applyInArrow(_settle_windows, _REPLY)
 
     span_type = pa.struct([("start", pa.int64()), ("end", pa.int64())])
 
