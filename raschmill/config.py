@@ -55,6 +55,8 @@ class IrtConfig:
     b_preds: tuple[str, ...] = ()
     c_preds: tuple[str, ...] = ()
     d_preds: tuple[str, ...] = ()
+    #: Each item has its own effects of item covariates, instead of one effect for all.
+    item_specific_betas: bool = False
     priors: Priors = field(default_factory=Priors)
     use_priors: bool = True
     #: Means that are estimated (as the average of their elements) rather than taken from the priors.

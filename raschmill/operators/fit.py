@@ -63,6 +63,11 @@ def _effect(kind: str, preds: tuple[str, ...], betas: dict[str, dict[str, float]
     return total
 
 
+def _own(k: str, x: str) -> str:
+    """Column of an item's own effect."""
+    return f"beta_{k}_{x}"
+
+
 def _natural(raw: dict[str, Column]) -> dict[str, Column]:
     """Fixed values are used as they are, free ones go through their link."""
     f = lambda k: F.col(f"fixed_{k}")
@@ -86,12 +91,24 @@ class _Fit:
         self.means: dict[str, float] = {}
         self.history: list[float] = []
 
+        if config.item_specific_betas:
+            self.items = items.withColumns({_own(k, x): F.lit(0.0) for k in RAW for x in self.preds[k]})
+
+    def item_effect(self, k: str) -> Column | None:
+        """Sum of covariates times their effects on a raw item parameter; None without any."""
+        if not self.config.item_specific_betas:
+            return _effect(k, self.preds[k], self.betas)
+        total = None
+        for x in self.preds[k]:
+            total = F.col(_own(k, x)) * F.col(x) if total is None else total + F.col(_own(k, x)) * F.col(x)
+        return total
+
     # ---- the model's rows
 
     def rows(self) -> DataFrame:
         """Counted answers with natural parameters A, B, C, D, th, and derivatives of P by the raw ones."""
         r = self.cells.join(self.items, "Item").join(self.theta.withColumnRenamed("fixed", "fixed_t"), ["id", "Scale"])
-        raw = {k: F.col(k) if (e := _effect(k, self.preds[k], self.betas)) is None else F.col(k) + e for k in RAW}
+        raw = {k: F.col(k) if (e := self.item_effect(k)) is None else F.col(k) + e for k in RAW}
         shift = F.lit(0.0)
         for s in self.scales:
             e = _effect(f"ability:{s}", self.config.person_preds, self.betas)
@@ -203,7 +220,9 @@ class _Fit:
 
     def step_betas(self) -> None:
         """Effects of covariates: one row of gradients and information for each kind of parameter."""
-        kinds = [(k, self.preds[k], f"u_{k}", F.lit(True)) for k in RAW if self.preds[k] and self.free[k]]
+        kinds = [(k, self.preds[k], f"u_{k}", F.lit(True)) for k in RAW if self.preds[k] and self.free[k] and not self.config.item_specific_betas]
+        if self.config.item_specific_betas and self.config.item_preds:
+            self.step_own_betas()
         kinds += [(f"ability:{s}", self.config.person_preds, "u_t", F.col("Scale") == s) for s in self.scales if self.config.person_preds]
         for kind, preds, u, where in kinds:
             aggs = [F.sum(F.col("r") * F.col(u) * F.col(x)).alias(f"g{i}") for i, x in enumerate(preds)]
@@ -217,6 +236,20 @@ class _Fit:
                 g, h = g - b / self.priors.beta_sd**2, h + np.eye(k) / self.priors.beta_sd**2
             self.betas[kind] = dict(zip(preds, (b + np.clip(np.linalg.solve(h, g), -LIMIT, LIMIT)).tolist()))
 
+    def step_own_betas(self) -> None:
+        """One effect for each item and covariate: a scoring step for each by itself."""
+        pairs = [(k, x) for k in RAW for x in self.preds[k] if self.free[k]]
+        hold = 1 / self.priors.beta_sd**2 if self.config.use_priors else 0.0
+        aggs = []
+        for i, (k, x) in enumerate(pairs):
+            aggs += [F.sum(F.col("r") * F.col(f"u_{k}") * F.col(x)).alias(f"g{i}"), F.sum(F.col("w") * F.pow(F.col(f"u_{k}") * F.col(x), 2)).alias(f"h{i}")]
+        t = self.items.join(self.rows().groupBy("Item").agg(*aggs), "Item", "left").na.fill(0.0, [f"{c}{i}" for i in range(len(pairs)) for c in "gh"])
+        new = {}
+        for i, (k, x) in enumerate(pairs):
+            b = F.col(_own(k, x))
+            new[_own(k, x)] = b + F.greatest(F.least((F.col(f"g{i}") - b * hold) / (F.col(f"h{i}") + hold + 1e-6), F.lit(LIMIT)), F.lit(-LIMIT))
+        self.items = cut(t.withColumns(new).select(*self.items.columns))
+
     def step_means(self) -> None:
         """Estimated means are the averages of their elements; then the location."""
         by = {r["Scale"]: r for r in self.theta.groupBy("Scale").agg(F.avg(F.when(~F.col("fixed"), F.col("ability"))).alias("m"), F.sum("ability").alias("t"), F.count(F.lit(1)).alias("n")).collect()}
@@ -244,6 +277,9 @@ class _Fit:
             q += self.theta.where("not fixed").agg(F.sum(dens(F.col("ability"), self._by_scale("mean"), self._by_scale("sd")))).first()[0] or 0.0
         got = self.items.agg(*[F.sum(F.when(~F.col(f"fixed_{k}"), dens(F.col(k), self._mean(k), self._sd(k)))).alias(k) for k in RAW]).first()
         q += sum(got[k] or 0.0 for k in RAW)
+        if self.config.item_specific_betas and self.config.item_preds:
+            own = [F.sum(F.pow(F.col(_own(k, x)), 2)) for k in RAW for x in self.preds[k]]
+            q -= 0.5 * sum(v or 0.0 for v in self.items.agg(*own).first()) / self.priors.beta_sd**2
         return q - 0.5 * sum((b / self.priors.beta_sd) ** 2 for v in self.betas.values() for b in v.values())
 
     def sweep(self) -> None:
@@ -353,7 +389,7 @@ def _finish(f: _Fit, data: DataFrame, used: DataFrame, converged: bool) -> IrtMo
     items, theta, config = f.items, f.theta, f.config
     if config.item_preds:
         items = items.join(data.groupBy("Item").agg(*[F.avg(x).alias(x) for x in config.item_preds]), "Item")
-    raw = {k: F.col(k) if (e := _effect(k, f.preds[k], f.betas)) is None else F.col(k) + e for k in RAW}
+    raw = {k: F.col(k) if (e := f.item_effect(k)) is None else F.col(k) + e for k in RAW}
     natural = items.select("Item", *[v.alias(NATURAL[k]) for k, v in _natural(raw).items()])
     if config.person_preds and any(k.startswith("ability:") for k in f.betas):
         means = data.groupBy("id").agg(*[F.avg(x).alias(x) for x in config.person_preds])

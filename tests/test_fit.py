@@ -48,6 +48,16 @@ def test_person_and_item_covariates(spark):
     assert "b" in k.effects and np.isfinite(k.effects["b"]["z"])
 
 
+def test_effects_of_each_item(spark):
+    answers, _, _ = sim_irt(spark, 1200, 8, 1, c_mean=-20, c_sd=0.01, seed=31)
+    rows = cut(answers).withColumn("z", (F.xxhash64("id", "Item") % 100) / 50.0).withColumn("true", F.when(F.col("Item") <= 4, 1.0).otherwise(-1.0))
+    rows = rows.withColumn("B", F.col("B") + F.col("true") * F.col("z")).withColumn("D", F.lit(1.0)).withColumn("ability", F.col("Ability"))
+    rows = cut(answer(rows.drop("score", "p"), F.rand(5)))
+    m = fit_irt(rows, config=IrtConfig(ebayes=False, max_sweeps=6, b_preds=("z",), item_specific_betas=True))
+    own = {r["Item"]: r["beta_b_z"] for r in m.raw_items.collect()}
+    assert all((v > 0.4) == (i <= 4) for i, v in own.items()) and m.effects == {}
+
+
 def test_scales_that_correlate(spark):
     from raschmill.operators.simulate import sim_items, sim_persons
     from raschmill.sources.responses import grid
