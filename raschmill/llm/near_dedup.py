@@ -15,12 +15,16 @@ Jaccard similarity. ROWS samples make a band; texts that share a band are candid
 verified by their exact weighted Jaccard similarity.
 
 Groups. Texts with the same words are one class first. In a band's bucket every text is compared with
-the bucket's least id only, those that are not similar to it with the least among themselves, and
-so on until none is left: links grow with the members, not with their pairs. One minus the weighted
-Jaccard similarity is a metric, so a text E that misses the first, A, can only be similar to a text
-D that was linked to A if d(A, D) >= d(A, E) - (1 - threshold). Those pairs, where E and D are not in
-one class yet, are compared at the end, so no link that sharing a band would give is lost. Joins on
-buckets are plain equi-joins, which adaptive execution splits where a bucket is large.
+the bucket's lead, and those that are not similar to it with a lead among themselves, ROUNDS times.
+The lead is the text whose buckets hold most texts together: near copies of one text share their bands
+with it more than with each other, so it is mostly the text that was copied. That way links grow with the members, not with their pairs. What is left over in a bucket (texts
+that share little more than the samples of a band), is screened in blocks of BLOCK texts on the
+samples alone, and only pairs of different classes that agree in MAYBE of them are verified. One
+minus the weighted Jaccard similarity is a metric, so a text E that misses a lead A can only be similar
+to a text D linked to A if d(A, E) <= 2 (1 - threshold): those E, where the classes still differ,
+are screened against the linked texts of the bucket. Pairs that agree in fewer than FAR (for leads) or
+MAYBE of the samples are four standard deviations or more from the threshold. Joins on buckets are
+plain equi-joins, which adaptive execution splits where a bucket is large.
 
 Defined results: a null id takes no part and has a null class; a text without words is its own
 class; rows that share an id are one document; an empty table gives an empty result; other columns
@@ -40,7 +44,9 @@ from .common import Words, byte_view, mix, sliced, written
 
 SHINGLE = 5
 THRESHOLD = 0.8
-BANDS, ROWS = 13, 3
+BANDS, ROWS = 20, 4
+ROUNDS, BLOCK = 3, 256
+FAR, MAYBE = 0.4, 0.6
 COMMON = 1000
 _U = np.uint64
 _SLOTS = 1 << 16
@@ -139,21 +145,22 @@ def word_idf(docs: DataFrame) -> Idf:
 
 
 def _signed(docs: DataFrame, idf: Idf, kind: str) -> DataFrame:
-    """id, n_words, whole, bands."""
+    """id, n_words, whole, bands, samples."""
     shared = docs.sparkSession.sparkContext.broadcast(idf)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo, hi, data, offs in sliced(b.column("text")):
                 doc, sh, weight, counts, whole = weighted_shingles(data, offs, shared.value)
-                sig = signatures(doc, sh, weight, hi - lo, BANDS * ROWS).astype(np.uint64).reshape(hi - lo, BANDS, ROWS)
+                samples = signatures(doc, sh, weight, hi - lo, BANDS * ROWS)
+                sig = samples.astype(np.uint64).reshape(hi - lo, BANDS, ROWS)
                 band = np.zeros((hi - lo, BANDS), dtype=np.uint64)
                 for r in range(ROWS):
                     band = mix(band * _U(0x9E3779B97F4A7C15) + sig[:, :, r] + _U(1))
                 bands = pa.ListArray.from_arrays(pa.array(np.arange(hi - lo + 1) * BANDS, pa.int32()), pa.array(band.ravel().view(np.int64)))
-                yield pa.RecordBatch.from_arrays([b.column("id").slice(lo, hi - lo), pa.array(counts, pa.int64()), pa.array(whole.view(np.int64)), bands], ["id", "n_words", "whole", "bands"])
+                yield pa.RecordBatch.from_arrays([b.column("id").slice(lo, hi - lo), pa.array(counts, pa.int64()), pa.array(whole.view(np.int64)), bands, pa.array([x.tobytes() for x in samples], pa.binary())], ["id", "n_words", "whole", "bands", "samples"])
 
-    return docs.mapInArrow(run, f"id {kind}, n_words long, whole long, bands array<long>")
+    return docs.mapInArrow(run, f"id {kind}, n_words long, whole long, bands array<long>, samples binary")
 
 
 def _shingle_set(text: str | None, idf: Idf) -> tuple[np.ndarray, np.ndarray]:
@@ -207,6 +214,52 @@ def connected(edges: DataFrame, kind: str) -> DataFrame:
         labels = new.select("id", "label")
 
 
+def _samples(col: pa.Array) -> np.ndarray:
+    return np.stack([np.frombuffer(x, np.uint32) for x in col.to_pylist()]) if len(col) else np.zeros((0, BANDS * ROWS), np.uint32)
+
+
+def _agreeing(pairs: DataFrame, sigs: DataFrame, least: float, kind: str) -> DataFrame:
+    """Pairs (a, b) that agree in a share of the samples."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in batches:
+            same = (_samples(t.column("x")) == _samples(t.column("y"))).mean(axis=1)
+            yield t.filter(pa.array(same >= least)).select(["a", "b"])
+
+    left = sigs.select(F.col("rep").alias("a"), F.col("samples").alias("x"))
+    right = sigs.select(F.col("rep").alias("b"), F.col("samples").alias("y"))
+    return pairs.join(left, "a").join(right, "b").mapInArrow(run, f"a {kind}, b {kind}")
+
+
+def _screened(rows: DataFrame, keys: list[str], kind: str) -> DataFrame:
+    """Pairs (a, b) of different labels, one of side 0 and one of side 1 in the same group, that agree in MAYBE of the samples.
+
+    rows: keys, rep, label, samples, side. Each side of a group is cut into blocks, and each pair of blocks is one task's group.
+    """
+    n = rows.groupBy(*keys).agg(*[F.ceil(F.count_if(F.col("side") == s) / BLOCK).cast("int").alias(f"n{s}") for s in (0, 1)])
+    d = rows.join(n.where("n0 > 0 and n1 > 0"), keys)
+    own = F.when(F.col("side") == 0, F.col("n0")).otherwise(F.col("n1"))
+    other = F.when(F.col("side") == 0, F.col("n1")).otherwise(F.col("n0"))
+    d = d.withColumn("own", F.pmod(F.xxhash64("rep"), own).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), other - 1)))
+    d = d.select(*keys, "rep", "label", "samples", "side", F.when(F.col("side") == 0, F.col("own")).otherwise(F.col("other")).alias("i"), F.when(F.col("side") == 0, F.col("other")).otherwise(F.col("own")).alias("j"))
+
+    def compare(t: pa.Table) -> pa.Table:
+        side = t.column("side").to_numpy()
+        x, y = t.filter(pa.array(side == 0)), t.filter(pa.array(side == 1))
+        a, b = _samples(x.column("samples")), _samples(y.column("samples"))
+        at, to = [], []
+        la, lb = x.column("label").to_pylist(), y.column("label").to_pylist()
+        for i in range(len(a)):
+            for j in np.flatnonzero((b == a[i]).mean(axis=1) >= MAYBE).tolist() if len(b) else []:
+                if la[i] != lb[j]:
+                    at.append(i)
+                    to.append(j)
+        return pa.table({"a": x.column("rep").take(pa.array(at, pa.int64())), "b": y.column("rep").take(pa.array(to, pa.int64()))})
+
+    pairs = d.groupBy(*keys, "i", "j").applyInArrow(compare, f"a {kind}, b {kind}")
+    return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()  # as in all tables of pairs
+
+
 def near_duplicate_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """id, class_id (the least id of the class), n_words for every document."""
     d = docs.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text"))
@@ -214,44 +267,54 @@ def near_duplicate_classes(docs: DataFrame, doc_id: str = "doc_id", text: str =
     idf = word_idf(d)
     signed = written(_signed(d, idf, kind))
     known = signed.where("id is not null and n_words > 0")
-    reps = written(known.groupBy("whole", "n_words").agg(F.min("id").alias("rep"), F.first("bands").alias("bands")))
+    first = F.min(F.struct("id", "bands", "samples")).alias("f")
+    reps = written(known.groupBy("whole", "n_words").agg(first).select("whole", "n_words", F.col("f.id").alias("rep"), F.col("f.bands").alias("bands"), F.col("f.samples").alias("samples")))
     members = reps.select("rep", F.posexplode("bands").alias("band", "key"))
-    crowded = members.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("lead")).where("n > 1")
-    active = written(members.join(crowded.select("band", "key"), ["band", "key"]))
-    involved = active.select(F.col("rep").alias("id")).distinct()
-    texts = written(d.join(involved, "id", "left_semi").dropDuplicates(["id"]))
-
-    links, misses, linked = [], [], []
-    checked: DataFrame | None = None
-    while True:
-        leads = active.groupBy("band", "key").agg(F.min("rep").alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    crowded = members.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = written(members.join(crowded, ["band", "key"]))
+    active = written(shared.drop("n").join(shared.groupBy("rep").agg(F.sum("n").alias("central")), "rep"))
+    involved = written(active.select("rep").distinct())
+    sigs = written(reps.join(involved, "rep", "left_semi").select("rep", "samples"))
+    texts = written(d.join(involved.withColumnRenamed("rep", "id"), "id", "left_semi").dropDuplicates(["id"]))
+
+    judged: list[DataFrame] = []
+    checked: list[DataFrame] = []
+    for _ in range(ROUNDS):
+        lead = F.min(F.struct((-F.col("central")).alias("less"), "rep")).alias("lead")
+        leads = active.groupBy("band", "key").agg(lead, F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "key", F.col("lead.rep").alias("lead"))
         rows = written(active.join(leads, ["band", "key"]).where("rep <> lead"))
-        pairs = rows.select(F.col("rep").alias("a"), F.col("lead").alias("b")).distinct()
         if rows.limit(1).count() == 0:
+            active = rows.select("rep", "band", "key", "central")
             break
-        if checked is not None:
-            pairs = pairs.join(checked.select("a", "b"), ["a", "b"], "left_anti")
-        new = _verified(pairs, texts, idf, kind)
-        checked = new if checked is None else checked.unionByName(new)
-        judged = written(rows.join(checked.select(F.col("a").alias("rep"), F.col("b").alias("lead"), "similarity"), ["rep", "lead"]))
-        links.append(judged.where(F.col("similarity") >= threshold).select(F.col("rep").alias("a"), F.col("lead").alias("b")))
-        # By the triangle inequality only these can still be similar to a text linked to the lead.
-        misses.append(judged.where((F.col("similarity") < threshold) & (F.col("similarity") >= 2 * threshold - 1)))
-        linked.append(judged.where(F.col("similarity") >= threshold))
-        active = judged.where(F.col("similarity") < threshold).select("rep", "band", "key")
-
-    if links:
-        edges = _union(links).distinct()
+        pairs = rows.select(F.greatest("rep", "lead").alias("a"), F.least("rep", "lead").alias("b")).distinct()
+        if checked:
+            pairs = pairs.join(_union(checked).select("a", "b"), ["a", "b"], "left_anti")
+        checked.append(_verified(_agreeing(pairs, sigs, FAR, kind), texts, idf, kind))
+        sims = _union(checked).select("a", "b", "similarity")
+        now = rows.withColumns({"a": F.greatest("rep", "lead"), "b": F.least("rep", "lead")}).join(sims, ["a", "b"], "left")
+        now = written(now.drop("a", "b"))
+        judged.append(now)
+        active = now.where(F.col("similarity").isNull() | (F.col("similarity") < threshold)).select("rep", "band", "key", "central")
+
+    if judged:
+        every = _union(judged)
+        edges = written(every.where(F.col("similarity") >= threshold).select(F.col("rep").alias("a"), F.col("lead").alias("b")).distinct())
         label = connected(edges, kind)
-        names = reps.select("rep").join(label.withColumnRenamed("id", "rep"), "rep", "left").select("rep", F.coalesce("label", "rep").alias("label"))
-        e = _union(misses).select("band", "key", "lead", F.col("rep").alias("a"), F.col("similarity").alias("sa")).join(names.select(F.col("rep").alias("a"), F.col("label").alias("la")), "a")
-        f = _union(linked).select("band", "key", "lead", F.col("rep").alias("b"), F.col("similarity").alias("sb")).join(names.select(F.col("rep").alias("b"), F.col("label").alias("lb")), "b")
-        late = e.join(f, ["band", "key", "lead"]).where((F.col("la") != F.col("lb")) & (F.col("sb") - F.col("sa") <= 1 - threshold)).select("a", "b").distinct()
-        late = written(late.join(checked.select("a", "b"), ["a", "b"], "left_anti"))
+        names = written(sigs.join(label.withColumnRenamed("id", "rep"), "rep", "left").select("rep", F.coalesce("label", "rep").alias("label"), "samples"))
+        more = []
+        rest = active.drop("central").join(active.groupBy("band", "key").count().where("count > 1").drop("count"), ["band", "key"]).join(names, "rep")
+        both = rest.withColumn("side", F.explode(F.array(F.lit(0), F.lit(1))))
+        more.append(_screened(both, ["band", "key"], kind))
+        lead = names.select(F.col("rep").alias("lead"), F.col("label").alias("lead_label"))
+        missed = every.where((F.col("similarity") < threshold) & (F.col("similarity") >= 2 * threshold - 1)).join(names, "rep").join(lead, "lead").where("label <> lead_label").withColumn("side", F.lit(0))
+        missed = written(missed.select("band", "key", "lead", "rep", "label", "samples", "side"))
+        linked = every.where(F.col("similarity") >= threshold).join(missed.select("band", "key", "lead").distinct(), ["band", "key", "lead"], "left_semi").join(names, "rep").withColumn("side", F.lit(1))
+        more.append(_screened(missed.unionByName(linked.select(*missed.columns)), ["band", "key", "lead"], kind))
+        late = written(_union(more).distinct().join(_union(checked).select("a", "b"), ["a", "b"], "left_anti"))
         if late.limit(1).count():
-            more = _verified(late, texts, idf, kind).where(F.col("similarity") >= threshold).select("a", "b")
-            if more.limit(1).count():
-                label = connected(edges.unionByName(more).distinct(), kind)
+            new = written(_verified(late, texts, idf, kind).where(F.col("similarity") >= threshold).select("a", "b"))
+            if new.limit(1).count():
+                label = connected(edges.unionByName(new).distinct(), kind)
         reps = reps.join(label.withColumnRenamed("id", "rep"), "rep", "left").select("whole", "n_words", F.coalesce("label", "rep").alias("class_id"))
     else:
         reps = reps.select("whole", "n_words", F.col("rep").alias("class_id"))
