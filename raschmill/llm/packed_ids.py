@@ -60,8 +60,24 @@ def unpack(payload: bytes, width: int, start: int, end: int) -> np.ndarray:
     return (bits << np.arange(width, dtype=np.uint32)).sum(axis=1, dtype=np.uint32)
 
 
+def _plain(run: str) -> tuple[str, str]:
+    """A run as (lower-cased body, final mark): both encode apart as they do together.
+
+    Only Latin letters below U+0130 are touched, whose lower case does not depend on their neighbours,
+    and only a comma or full stop after such a letter is cut off, where the splitter cuts as well.
+    """
+    mark = ""
+    if len(run) > 1 and run[-1] in ".," and run[-2].isalpha() and run[-2] < "\u0130":
+        run, mark = run[:-1], run[-1]
+    return (run.lower() if "<" not in run and max(run, default="") < "\u0130" else run), mark
+
+
 class ChunkEncoder:
-    """Ids of a text, by asking the library for each distinct run between spaces and line feeds."""
+    """Ids of a text, by asking the library for each distinct run between spaces and line feeds.
+
+    Encodings are kept in two generations: when the younger is full it becomes the older one, from
+    which runs that come again are taken over, so frequent runs stay.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -72,17 +88,30 @@ class ChunkEncoder:
         self.tokenizer.no_padding()
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.known: dict[str, bytes] = {"": b""}
+        self.older: dict[str, bytes] = {}
 
-    def encode_all(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
-        """(all ids with the end id after each text, bounds)."""
-        if len(self.known) > CACHE_ENTRIES:
-            self.known = {"": b""}
-        runs = [t.replace("\n", " ").split(" ") for t in texts]
-        new = list({r for rs in runs for r in rs if r not in self.known})
+    def _ask(self, runs: set[str]) -> None:
+        """Bring the encodings of runs into the younger generation."""
+        for r in runs & self.older.keys():
+            self.known[r] = self.older[r]
+        new = [r for r in runs if r not in self.known]
         for i in range(0, len(new), 20_000):
             some = new[i : i + 20_000]
             for r, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
                 self.known[r] = np.array(e.ids, dtype="<u4").tobytes()
+
+    def encode_all(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """(all ids with the end id after each text, bounds)."""
+        if len(self.known) > CACHE_ENTRIES:
+            self.older, self.known = self.known, {"": b""}
+        runs = [t.replace("\n", " ").split(" ") for t in texts]
+        new = {r for rs in runs for r in rs if r not in self.known}
+        for r in new & self.older.keys():
+            self.known[r] = self.older[r]
+        cut = {r: _plain(r) for r in new if r not in self.known}
+        self._ask({x for pair in cut.values() for x in pair if x not in self.known})
+        for r, (body, mark) in cut.items():
+            self.known[r] = self.known[body] + self.known[mark]
         end = np.array([end_id], dtype="<u4").tobytes()
         parts = [b"".join(map(self.known.__getitem__, rs)) + end for rs in runs]
         bounds = np.concatenate(([0], np.cumsum([len(p) // 4 for p in parts])))
