@@ -156,14 +156,14 @@ def _op8_sql() -> str:
     return rf"""
 with d as (select doc_id, {_WORDS} as w, string_split(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), chr(10)) as ls from documents),
 p(pw, label) as (values {phrases}),
-at as (select doc_id, label, i - 1 as i from (select doc_id, w, unnest(range(1, len(w) + 1)) as i from d), p where w[i : i + len(pw) - 1] = pw),
-base as (select doc_id, count(*) as n_base, min(i) as first_word, max(i) as last_word from at group by doc_id),
+places as (select doc_id, label, i - 1 as i from (select doc_id, w, unnest(range(1, len(w) + 1)) as i from d), p where w[i : i + len(pw) - 1] = pw),
+base as (select doc_id, count(*) as n_base, min(i) as first_word, max(i) as last_word from places group by doc_id),
 t(tw, label, need) as (values {templates}),
 b as (select doc_id, list_distinct(regexp_extract_all(l, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) as bw from (select doc_id, unnest(ls) as l from d)),
 f as (select doc_id, label, len(list_intersect(bw, tw)) / len(tw) as share from b, t where len(list_intersect(bw, tw)) >= need),
 best as (select doc_id, max(share) as share from f group by doc_id),
-bl as (select doc_id, string_agg(label, ',' order by label) as base_labels from (select distinct doc_id, label from at) group by doc_id),
-al as (select doc_id, string_agg(label, ',' order by label) as labels from (select doc_id, label from at union select doc_id, label from f) group by doc_id)
+bl as (select doc_id, string_agg(label, ',' order by label) as base_labels from (select distinct doc_id, label from places) group by doc_id),
+al as (select doc_id, string_agg(label, ',' order by label) as labels from (select doc_id, label from places union select doc_id, label from f) group by doc_id)
 select d.doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n_base, 0) as bigint) as n_base, cast(first_word as bigint) as first_word,
        cast(last_word as bigint) as last_word, coalesce(base_labels, '') as base_labels, coalesce(labels, '') as labels,
        case when n_base > 0 then 1.0::double else coalesce(share, 0)::double end as score
