@@ -2,9 +2,13 @@
 
 The table of answers is counted once by person, item and covariates. A sweep then updates abilities
 (one aggregation by person and scale), item parameters (one by item, each a 4 x 4 system solved where
-its row is), covariate effects (one row of sums) and estimated means. Person and item parameters stay
-distributed tables; only sums over everything come to the driver. Each sweep's tables are written to the
-shared folder, so lineage does not grow and a lost executor costs one step.
+its row is), covariate effects (one row of sums) and estimated means. Beyond LOCAL counted answers, person
+and item parameters stay distributed tables and only sums over everything come to the driver; each sweep's
+tables are written to the shared folder, so lineage does not grow and a lost executor costs one step. Up to
+LOCAL the same sweeps run on arrays in the driver, as a fit to the tolerance can take hundreds of them.
+
+In fits to the tolerance, steps of a person or an item that turn back are halved (and grow again later):
+with asymptotes, undamped scoring can go round in circles.
 
 If both means are estimated and no ability or difficulty is fixed, the posterior does not depend on a
 constant added to all of both: the grand mean of the abilities is moved to zero in every sweep.
@@ -34,6 +38,12 @@ RAW = ("a", "b", "c", "d")
 NATURAL = {"a": "A", "b": "B", "c": "C", "d": "D"}
 #: Largest change of a parameter in one sweep.
 LIMIT = 1.0
+#: Least share of its step that a person or item takes after turning back again and again.
+LEAST = 1 / 64
+#: Product of two steps from which on, below zero, the second turns back; rounding does not count.
+TURN = 1e-10
+#: Counted answers, and abilities, up to which the sweeps run in the driver.
+LOCAL = 1_000_000
 
 
 @dataclass
@@ -90,6 +100,9 @@ class _Fit:
         self.anchored = flags["b_fixed"] > 0 or theta.where("fixed").limit(1).count() > 0
         self.means: dict[str, float] = {}
         self.history: list[float] = []
+        self.damped = True
+        self.theta = theta.withColumns({"t_step": F.lit(0.0), "t_rate": F.lit(1.0)})
+        self.items = items = items.withColumns({**{f"step_{k}": F.lit(0.0) for k in RAW}, "rate": F.lit(1.0)})
 
         if config.item_specific_betas:
             self.items = items.withColumns({_own(k, x): F.lit(0.0) for k in RAW for x in self.preds[k]})
@@ -181,7 +194,10 @@ class _Fit:
         else:
             g, i = F.col("g"), F.col("i") + 1e-6
         change = F.greatest(F.least(g / i, F.lit(LIMIT)), F.lit(-LIMIT))
-        self.theta = cut(t.select("id", "Scale", F.when(F.col("fixed"), F.col("ability")).otherwise(F.col("ability") + change).alias("ability"), "fixed"))
+        t = t.withColumn("change", change)
+        rate = F.when(F.col("change") * F.col("t_step") < -TURN, F.greatest(F.col("t_rate") / 2, F.lit(LEAST))).otherwise(F.least(F.col("t_rate") * 1.5, F.lit(1.0))) if self.damped else F.col("t_rate")
+        t = t.withColumn("t_rate", rate)
+        self.theta = cut(t.select("id", "Scale", F.when(F.col("fixed"), F.col("ability")).otherwise(F.col("ability") + F.col("t_rate") * F.col("change")).alias("ability"), "fixed", F.col("change").alias("t_step"), "t_rate"))
 
     def step_items(self) -> None:
         if not any(self.free.values()):
@@ -191,29 +207,11 @@ class _Fit:
         aggs += [F.sum(F.col("w") * F.col(f"u_{x}") * F.col(f"u_{y}")).alias(f"i_{x}{y}") for n, x in enumerate(live) for y in live[n:]]
         sums = self.rows().groupBy("Item").agg(*aggs)
         joined = self.items.join(sums, "Item", "left").na.fill(0.0, [f"g_{k}" for k in live] + [f"i_{x}{y}" for n, x in enumerate(live) for y in live[n:]])
-        use, sds, mus = self.config.use_priors, [self._sd(k) for k in live], [self._mean(k) for k in live]
+        move = _mover(live, self.config.use_priors, [self._sd(k) for k in live], [self._mean(k) for k in live], self.damped)
 
         def solve(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for f in frames:
-                k = len(live)
-                value = f[live].to_numpy(float)
-                g = f[[f"g_{x}" for x in live]].to_numpy(float)
-                h = np.zeros((len(f), k, k))
-                for n, x in enumerate(live):
-                    for m in range(n, k):
-                        h[:, n, m] = h[:, m, n] = f[f"i_{x}{live[m]}"]
-                if use:
-                    g = g - (value - mus) / np.square(sds)
-                    h[:, range(k), range(k)] += 1 / np.square(sds)
-                h[:, range(k), range(k)] += 1e-6
-                fixed = f[[f"fixed_{x}" for x in live]].to_numpy(bool)
-                g[fixed] = 0
-                h[np.repeat(fixed[:, :, None], k, 2) | np.repeat(fixed[:, None, :], k, 1)] = 0
-                h[:, range(k), range(k)] += fixed
-                step = np.clip(np.linalg.solve(h, g[:, :, None])[:, :, 0], -LIMIT, LIMIT)
-                f = f[columns].copy()
-                f[live] = np.where(fixed, value, value + step)
-                yield f
+                yield move(f)[columns]
 
         columns = self.items.columns
         self.items = cut(joined.mapInPandas(solve, self.items.schema))
@@ -282,6 +280,9 @@ class _Fit:
             q -= 0.5 * sum(v or 0.0 for v in self.items.agg(*own).first()) / self.priors.beta_sd**2
         return q - 0.5 * sum((b / self.priors.beta_sd) ** 2 for v in self.betas.values() for b in v.values())
 
+    def tables(self) -> None:
+        """items and theta are tables that stand as they are."""
+
     def sweep(self) -> None:
         self.step_abilities()
         self.step_items()
@@ -302,6 +303,161 @@ class _Fit:
         return False
 
 
+def _mover(live: list[str], use: bool, sds: list[float], mus: list[float], damped: bool):
+    """The step of items that carry their sums g_x and i_xy."""
+
+    def move(f: pd.DataFrame) -> pd.DataFrame:
+        k = len(live)
+        value = f[live].to_numpy(float)
+        g = f[[f"g_{x}" for x in live]].to_numpy(float).copy()
+        h = np.zeros((len(f), k, k))
+        for n, x in enumerate(live):
+            for m in range(n, k):
+                h[:, n, m] = h[:, m, n] = f[f"i_{x}{live[m]}"]
+        if use:
+            g = g - (value - mus) / np.square(sds)
+            h[:, range(k), range(k)] += 1 / np.square(sds)
+        h[:, range(k), range(k)] += 1e-6
+        fixed = f[[f"fixed_{x}" for x in live]].to_numpy(bool)
+        g[fixed] = 0
+        h[np.repeat(fixed[:, :, None], k, 2) | np.repeat(fixed[:, None, :], k, 1)] = 0
+        h[:, range(k), range(k)] += fixed
+        step = np.clip(np.linalg.solve(h, g[:, :, None])[:, :, 0], -LIMIT, LIMIT)
+        f = f.copy()
+        if damped:
+            last, rate = f[[f"step_{x}" for x in live]].to_numpy(float), f["rate"].to_numpy(float)
+            f["rate"] = np.where((step * last).sum(1) < -TURN, np.maximum(rate / 2, LEAST), np.minimum(rate * 1.5, 1.0))
+        f[[f"step_{x}" for x in live]] = step
+        f[live] = np.where(fixed, value, value + f[["rate"]].to_numpy(float) * step)
+        return f
+
+    return move
+
+
+class _LocalFit(_Fit):
+    """The same sweeps on arrays in the driver; persons, items and answers are in the order of their keys."""
+
+    def __init__(self, cells: DataFrame, items: DataFrame, theta: DataFrame, scales: list[str], config: IrtConfig):
+        super().__init__(cells, items, theta, scales, config)
+        self.t = self.theta.toPandas().sort_values(["id", "Scale"], ignore_index=True)
+        self.i = self.items.toPandas().sort_values("Item", ignore_index=True)
+        c = cells.toPandas().sort_values(["id", "Scale", "Item", *config.preds], ignore_index=True)
+        self.at_t = pd.MultiIndex.from_frame(self.t[["id", "Scale"]]).get_indexer(pd.MultiIndex.from_frame(c[["id", "Scale"]]))
+        self.at_i = pd.Index(self.i["Item"]).get_indexer(c["Item"])
+        place = {s: n for n, s in enumerate(scales)}
+        self.scale_t = self.t["Scale"].map(place).to_numpy()
+        self.scale = self.scale_t[self.at_t]
+        self.n, self.s = c["n"].to_numpy(float), c["s"].to_numpy(float)
+        self.x = {x: c[x].to_numpy(float) for x in config.preds}
+
+    def tables(self) -> None:
+        spark = self.cells.sparkSession
+        made = [cut(spark.createDataFrame(list(f[d.columns].itertuples(index=False, name=None)), d.schema)) for f, d in ((self.t, self.theta), (self.i, self.items))]
+        self.theta, self.items = made
+
+    def answers(self) -> dict[str, np.ndarray]:
+        """P, r, w and the derivatives u_ of every counted answer."""
+        raw, own, fixed = {}, {}, {k: self.i[f"fixed_{k}"].to_numpy(bool)[self.at_i] for k in RAW}
+        for k in RAW:
+            own[k] = self.i[k].to_numpy(float)[self.at_i]
+            raw[k] = own[k] + sum((b * self.x[x] for x, b in self.betas.get(k, {}).items()), 0.0)
+        shift = np.zeros(len(self.n))
+        for n, s in enumerate(self.scales):
+            for x, b in self.betas.get(f"ability:{s}", {}).items():
+                shift += np.where(self.scale == n, b * self.x[x], 0.0)
+        still = self.t["fixed"].to_numpy(bool)[self.at_t]
+        th = self.t["ability"].to_numpy(float)[self.at_t] + np.where(still, 0.0, shift)
+        sig = {k: _sigmoid(raw[k]) for k in "acd"}
+        A = np.where(fixed["a"], own["a"], np.logaddexp(0, raw["a"]))
+        B = np.where(fixed["b"], own["b"], raw["b"])
+        C = np.where(fixed["c"], own["c"], 0.5 * sig["c"])
+        D = np.where(fixed["d"], own["d"], 0.5 + 0.5 * sig["d"])
+        sg = _sigmoid(A * (th - B))
+        P = np.clip(C + (D - C) * sg, 1e-12, 1 - 1e-12)
+        bell, half = (D - C) * sg * (1 - sg), {k: 0.5 * sig[k] * (1 - sig[k]) for k in "cd"}
+        out = {"u_a": bell * (th - B) * sig["a"], "u_b": -bell * A, "u_c": (1 - sg) * half["c"], "u_d": sg * half["d"]}
+        out = {u: np.where(fixed[u[-1]], 0.0, v) for u, v in out.items()}
+        pq = P * (1 - P)
+        return out | {"u_t": np.where(still, 0.0, bell * A), "P": P, "r": (self.s - self.n * P) / pq, "w": self.n / pq}
+
+    def deviation(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the abilities from their means, with pull and hold of the prior."""
+        p = self.priors
+        mean = np.array([self.means.get(f"ability:{s}", p.ability_mean.get(str(s), p.default_mean)) for s in self.scales], float)
+        dev = self.t["ability"].to_numpy(float) - mean[self.scale_t]
+        if not p.ability_corr:
+            sd = np.array([p.ability_sd.get(str(s), p.default_sd) for s in self.scales], float)[self.scale_t]
+            return dev, -dev / sd**2, 1 / sd**2
+        q, k = self._precision(), len(self.scales)  # every person has a row for each scale
+        return dev, -(dev.reshape(-1, k) @ q).ravel(), np.diag(q)[self.scale_t]
+
+    def step_abilities(self) -> None:
+        m, k = self.answers(), len(self.t)
+        g, i = np.bincount(self.at_t, m["r"] * m["u_t"], k), np.bincount(self.at_t, m["w"] * m["u_t"] ** 2, k)
+        if self.config.use_priors:
+            _, pull, hold = self.deviation()
+            g, i = g + pull, i + hold
+        else:
+            i = i + 1e-6
+        step, last, rate = np.clip(g / i, -LIMIT, LIMIT), self.t["t_step"].to_numpy(float), self.t["t_rate"].to_numpy(float)
+        if self.damped:
+            rate = np.where(step * last < -TURN, np.maximum(rate / 2, LEAST), np.minimum(rate * 1.5, 1.0))
+        self.t = self.t.assign(ability=self.t["ability"] + np.where(self.t["fixed"], 0.0, rate * step), t_step=step, t_rate=rate)
+
+    def step_items(self) -> None:
+        live = [k for k in RAW if self.free[k]]
+        if not live:
+            return
+        m, k = self.answers(), len(self.i)
+        sums = {f"g_{x}": np.bincount(self.at_i, m["r"] * m[f"u_{x}"], k) for x in live}
+        sums |= {f"i_{x}{y}": np.bincount(self.at_i, m["w"] * m[f"u_{x}"] * m[f"u_{y}"], k) for n, x in enumerate(live) for y in live[n:]}
+        move = _mover(live, self.config.use_priors, [self._sd(x) for x in live], [self._mean(x) for x in live], self.damped)
+        self.i = move(self.i.assign(**sums))[self.i.columns]
+
+    def step_betas(self) -> None:
+        kinds = [(k, self.preds[k], f"u_{k}", None) for k in RAW if self.preds[k] and self.free[k]]
+        kinds += [(f"ability:{s}", self.config.person_preds, "u_t", n) for n, s in enumerate(self.scales) if self.config.person_preds]
+        for kind, preds, u, n in kinds:
+            m = self.answers()
+            here = slice(None) if n is None else self.scale == n
+            x = np.stack([self.x[p][here] for p in preds], 1)
+            b = np.array([self.betas.get(kind, {}).get(p, 0.0) for p in preds])
+            g = x.T @ (m["r"] * m[u])[here]
+            h = x.T @ (x * (m["w"] * m[u] ** 2)[here][:, None]) + 1e-6 * np.eye(len(preds))
+            if self.config.use_priors:
+                g, h = g - b / self.priors.beta_sd**2, h + np.eye(len(preds)) / self.priors.beta_sd**2
+            self.betas[kind] = dict(zip(preds, (b + np.clip(np.linalg.solve(h, g), -LIMIT, LIMIT)).tolist()))
+
+    def step_means(self) -> None:
+        centre = 0.0
+        if not self.anchored and {"ability", "B"} <= set(self.config.est_means):
+            centre = float(self.t["ability"].mean())
+            self.t, self.i = self.t.assign(ability=self.t["ability"] - centre), self.i.assign(b=self.i["b"] - centre)
+        if "ability" in self.config.est_means:
+            free = self.t[~self.t["fixed"].to_numpy(bool)]
+            self.means |= {f"ability:{s}": float(v) for s, v in free.groupby("Scale")["ability"].mean().items()}
+        for k in RAW:
+            free = self.i.loc[~self.i[f"fixed_{k}"].to_numpy(bool), k]
+            if NATURAL[k] in self.config.est_means and len(free):
+                self.means[k] = float(free.mean())
+
+    def objective(self) -> float:
+        P = self.answers()["P"]
+        q = float((self.s * np.log(P + TINY) + (self.n - self.s) * np.log(1 - P + TINY)).sum())
+        if not self.config.use_priors:
+            return q
+        dev, pull, _ = self.deviation()
+        q += 0.5 * float((pull * dev * (True if self.priors.ability_corr else ~self.t["fixed"].to_numpy(bool))).sum())
+        for k in RAW:
+            free = self.i.loc[~self.i[f"fixed_{k}"].to_numpy(bool), k].to_numpy(float)
+            q -= 0.5 * float((((free - self._mean(k)) / self._sd(k)) ** 2).sum())
+        return q - 0.5 * sum((b / self.priors.beta_sd) ** 2 for v in self.betas.values() for b in v.values())
+
+
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    return 0.5 * (1 + np.tanh(0.5 * x))
+
+
 def _start(items: DataFrame, setup: DataFrame) -> DataFrame:
     cols = [F.coalesce(F.col(n), F.lit({"a": 0.542, "b": 0.0, "c": -4.0, "d": 4.0}[k])).alias(k) for k, n in NATURAL.items()]
     return setup.select("Item", *cols, *[F.col(n).isNotNull().alias(f"fixed_{k}") for k, n in NATURAL.items()])
@@ -342,23 +498,28 @@ def fit_irt(responses: DataFrame, names: ResponseSchema | None = None, config: I
     if config.priors_from_fixed and fixed_items is not None:
         m = priors_from_fixed(fixed_items, config.ebayes_multiplier).first().asDict()
         own = replace(own, **{k: v for k, v in m.items() if v is not None and math.isfinite(v)})
-    f = _Fit(cells, cut(items), cut(theta), scales, config)
+    items, theta = cut(items), cut(theta)
+    local = not config.item_specific_betas and cells.count() <= LOCAL and theta.count() <= LOCAL
+    f = (_LocalFit if local else _Fit)(cells, items, theta, scales, config)
     f.priors = own
     tol = config.tol if config.tol is not None else 1e-8 * n_rows
     converged = True
     if fixed_sweeps is not None:
+        f.damped = False
         for _ in range(fixed_sweeps):
             f.sweep()
         f.history.append(f.objective())
     else:
         if config.careful:
             f.priors = replace(own, a_sd=0.1, b_sd=1.0, c_sd=0.01, d_sd=0.01, default_sd=1.0, ability_sd={})
-            f.run(config.max_sweeps, tol * 100)
+            converged = f.run(config.max_sweeps, tol * 100)
             f.priors = own
-        converged = f.run(config.max_sweeps, tol * (10 if config.ebayes else 1))
+        converged = f.run(config.max_sweeps, tol * (10 if config.ebayes else 1)) and converged
         if config.ebayes:
+            f.tables()
             f.priors = _empirical_priors(f, own)
-            converged = f.run(config.max_sweeps, tol)
+            converged = f.run(config.max_sweeps, tol) and converged
+    f.tables()
     return _finish(f, data, used, converged)
 
 

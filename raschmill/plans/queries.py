@@ -561,13 +561,17 @@ def _summary(m: IrtModel) -> DataFrame:
     return a.unionByName(m.persons.select(F.lit("person").alias("kind"), F.col("id").cast("string").alias("name"), "Scale", rd("ability", 4).alias("value")))
 
 
-def _fitted(spark, sf, sweeps: int = 3, fixed: DataFrame | None = None, **how) -> IrtModel:
-    return fit_irt(responses(spark, sf), config=IrtConfig(ebayes=False, **how), fixed_items=fixed, fixed_sweeps=sweeps)
+def _fitted(spark, sf, fixed: DataFrame | None = None, **how) -> IrtModel:
+    """A fit to the tolerance: sweeps are not counted out, and one that does not get there is an error, not a result."""
+    m = fit_irt(responses(spark, sf), config=IrtConfig(**({"ebayes": False, "max_sweeps": 10_000} | how)), fixed_items=fixed)
+    if not m.converged:
+        raise ArithmeticError(f"no convergence after {m.sweeps} sweeps")
+    return m
 
 
 @query(_fit_sql(4))
 def fit_1pl(spark, sf):
-    return _summary(_fitted(spark, sf, 4))
+    return _summary(fit_irt(responses(spark, sf), config=IrtConfig(ebayes=False), fixed_sweeps=4))  # as many as the SQL has
 
 
 def _items_of(m: IrtModel) -> DataFrame:
@@ -591,8 +595,7 @@ def fit_4pl(spark, sf):
 
 @query()
 def fit_ebayes(spark, sf):
-    r = responses(spark, sf)
-    return _items_of(fit_irt(r, config=IrtConfig(max_sweeps=3, normalise=True)))
+    return _items_of(_fitted(spark, sf, ebayes=True, normalise=True))
 
 
 @query()
