@@ -14,9 +14,9 @@ but share their core with other phrases: the edges of repeated passages.
 
 Suffixes of the dictionary. The windows of those phrases, and of one copy of each frequent phrase
 that they share a core with, are suffixes of dictionary phrases. They are dealt out by a fingerprint
-of their first ``width`` bytes and sorted; neighbours in that order that agree in ``width`` bytes
-are repeated windows. Together both give, for every byte, whether a neighbour in corpus order
-shares ``width`` bytes with a suffix that covers it, without a suffix array of the whole corpus.
+of their first ``width`` bytes and sorted by it, not lexicographically; equal fingerprints are
+repeated windows. Together both give, for every byte, whether a window that covers it occurs again.
+No suffix array is made of the dictionary, the parse or the corpus.
 
 Scale. Documents are dealt by a hash into units of a few megabytes. A unit sends each distinct
 phrase or window once, however many copies it holds, so a group of copies or a common passage
