@@ -124,3 +124,13 @@ def test_sample_is_bounded_and_leaves_held_out_rows(spark):
     assert 200 < len(got) < 400
     assert all(zlib.crc32(t[1:].encode()) % 5 != 0 and int(t[1:]) % 2 == y for t, y in got)
     assert sum(len(t) for t, _ in labelled_sample(docs, labels, "y", 5, 0, max_bytes=100)) <= 100
+
+
+def test_a_long_text_does_not_end_the_sample(spark):
+    docs = spark.createDataFrame([(i, "x" * 1000 if i < 60 else f"t{i}") for i in range(300)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i >= 60) if i % 2 else 1) for i in range(300)], "doc_id long, y int")
+    everything = labelled_sample(docs, labels, "y", 5, 0)
+    short = sorted(r for r in everything if len(r[0]) < 10)
+    assert len(short) > 150
+    assert sorted(labelled_sample(docs, labels, "y", 5, 0, max_bytes=999)) == short
+    assert sum(len(t) for t, _ in labelled_sample(docs, labels, "y", 5, 0, max_bytes=2500)) <= 2500
