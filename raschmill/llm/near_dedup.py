@@ -14,20 +14,22 @@ the shingle and t with the least c / (y e^r): two texts agree with the probabili
 Jaccard similarity. ROWS samples make a band; texts that share a band are candidates and are
 verified by their exact weighted Jaccard similarity.
 
-Groups. Texts with the same words are one class first. In a band's bucket every text is compared with
-the bucket's lead, and those that are not similar to it with a lead among themselves, ROUNDS times.
-The lead is the text whose buckets hold most texts together: near copies of one text share their bands
-with it more than with each other, so it is mostly the text that was copied. That way links grow with the members, not with their pairs. What is left over in a bucket (texts
-that share little more than the samples of a band), is screened in blocks of BLOCK texts on the
-samples alone, and only pairs of different classes that agree in MAYBE of them are verified. One
-minus the weighted Jaccard similarity is a metric, so a text E that misses a lead A can only be similar
-to a text D linked to A if d(A, E) <= 2 (1 - threshold): those E, where the classes still differ,
-are screened against the linked texts of the bucket. Pairs that agree in fewer than FAR (for leads) or
-MAYBE of the samples are four standard deviations or more from the threshold. Joins on buckets are
+Groups. Texts with the same words are one text, named by a 128-bit hash of its words. In ROUNDS rounds every
+text that shares a band is compared with one other text: of the leads of its buckets, the one whose
+own buckets hold most texts (near copies of one text share their bands with it more than with each
+other, so this is mostly the text that was copied). Links to leads grow with the members of a group, not with their pairs,
+and join most of it into classes. What is left are pairs of different classes in one bucket. They are
+taken in blocks of BLOCK texts and BLOCK_BYTES bytes, each pair in the first band that it shares: first on the samples
+alone, which only marks the texts that agree with another class in MAYBE of them; then the marked
+texts are verified, one text against all of its block in one vectorised step. A block
+keeps its own union of classes, skips what is joined already and returns at most one link for each
+text, so no table of candidate pairs is made, and none is left out. (Pairs that agree in fewer than MAYBE of the
+samples are over four standard deviations from the threshold.) Joins on buckets are
 plain equi-joins, which adaptive execution splits where a bucket is large.
 
 Defined results: a null id takes no part and has a null class; a text without words is its own
-class; rows that share an id are one document; an empty table gives an empty result; other columns
+class; rows are told apart by id and text, so an id with two texts may lie in two classes; an empty table gives an empty
+result; very long texts are whole, a block of their own; other columns
 do not matter. A class is named by its least id.
 """
 
@@ -45,8 +47,9 @@ from .common import Words, byte_view, mix, sliced, written
 SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 20, 4
-ROUNDS, BLOCK = 3, 256
-FAR, MAYBE = 0.4, 0.6
+ROUNDS = 2
+BLOCK, BLOCK_BYTES = 512, 4 << 20
+MAYBE = 0.6
 COMMON = 1000
 _U = np.uint64
 _SLOTS = 1 << 16
@@ -77,7 +80,7 @@ class Idf:
 
 
 def weighted_shingles(data: np.ndarray, offs: np.ndarray, idf: Idf) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(document, shingle hash, weight) of distinct shingles, sorted by both; then number of words and hash of all words by document."""
+    """(document, shingle hash, weight) of distinct shingles, sorted by both; then number of words and 128-bit hash of all words by document."""
     w = Words(data, offs)
     h, counts = w.hashes(), w.counts()
     n, m = len(h), w.n_docs
@@ -99,8 +102,11 @@ def weighted_shingles(data: np.ndarray, offs: np.ndarray, idf: Idf) -> tuple[np.
     first = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (sh[1:] != sh[:-1])))) if len(doc) else np.zeros(0, np.int64)
     tf = np.diff(np.concatenate((first, [len(doc)])))
     place = np.arange(n) - base[w.doc]
-    whole = np.zeros(m, dtype=np.uint64)
-    np.add.at(whole, w.doc, mix(h + place.astype(np.uint64) * _U(0x9E3779B97F4A7C15)))
+    whole = np.zeros((m, 2), dtype=np.uint64)
+    filled = np.flatnonzero(counts)
+    if n:
+        for j, odd in enumerate((0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)):
+            whole[filled, j] = np.add.reduceat(mix((h ^ _U(j)) + place.astype(np.uint64) * _U(odd)), base[:-1][filled])
     return doc[first], sh[first], np.round(mean[first], 6) * tf, counts, whole
 
 
@@ -145,7 +151,7 @@ def word_idf(docs: DataFrame) -> Idf:
 
 
 def _signed(docs: DataFrame, idf: Idf, kind: str) -> DataFrame:
-    """id, n_words, whole, bands, samples."""
+    """id, h, n_words, rep (hash of all words), bands, samples."""
     shared = docs.sparkSession.sparkContext.broadcast(idf)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,9 +164,10 @@ def _signed(docs: DataFrame, idf: Idf, kind: str) -> DataFrame:
                 for r in range(ROWS):
                     band = mix(band * _U(0x9E3779B97F4A7C15) + sig[:, :, r] + _U(1))
                 bands = pa.ListArray.from_arrays(pa.array(np.arange(hi - lo + 1) * BANDS, pa.int32()), pa.array(band.ravel().view(np.int64)))
-                yield pa.RecordBatch.from_arrays([b.column("id").slice(lo, hi - lo), pa.array(counts, pa.int64()), pa.array(whole.view(np.int64)), bands, pa.array([x.tobytes() for x in samples], pa.binary())], ["id", "n_words", "whole", "bands", "samples"])
+                own = [pa.array(counts, pa.int64()), pa.array([x.tobytes() for x in whole], pa.binary()), bands, pa.array([x.tobytes() for x in samples], pa.binary())]
+                yield pa.RecordBatch.from_arrays([b.column("id").slice(lo, hi - lo), b.column("h").slice(lo, hi - lo), *own], ["id", "h", "n_words", "rep", "bands", "samples"])
 
-    return docs.mapInArrow(run, f"id {kind}, n_words long, whole long, bands array<long>, samples binary")
+    return docs.mapInArrow(run, f"id {kind}, h long, n_words long, rep binary, bands array<long>, samples binary")
 
 
 def _shingle_set(text: str | None, idf: Idf) -> tuple[np.ndarray, np.ndarray]:
@@ -176,27 +183,27 @@ def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.n
     return float(both / total) if total else 0.0
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, idf: Idf, kind: str) -> DataFrame:
-    """a, b, similarity of pairs (a, b), written to the shared folder."""
+def _verified(pairs: DataFrame, texts: DataFrame, idf: Idf) -> DataFrame:
+    """rep, lead, similarity of pairs (rep, lead), written to the shared folder."""
     shared = pairs.sparkSession.sparkContext.broadcast(idf)
-    left = texts.select(F.col("id").alias("a"), F.col("text").alias("x"))
-    right = texts.select(F.col("id").alias("b"), F.col("text").alias("y"))
+    left = texts.select("rep", F.col("text").alias("x"))
+    right = texts.select(F.col("rep").alias("lead"), F.col("text").alias("y"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, kept = None, None
         for t in batches:
             found = []
-            for b, x, y in zip(t.column("b"), t.column("x"), t.column("y")):
+            for b, x, y in zip(t.column("lead"), t.column("x"), t.column("y")):
                 if kept is None or b != name:
                     name, kept = b, _shingle_set(y.as_py(), shared.value)
                 found.append(weighted_jaccard(_shingle_set(x.as_py(), shared.value), kept))
-            yield pa.RecordBatch.from_arrays([t.column("a"), t.column("b"), pa.array(found, pa.float64())], ["a", "b", "similarity"])
+            yield pa.RecordBatch.from_arrays([t.column("rep"), t.column("lead"), pa.array(found, pa.float64())], ["rep", "lead", "similarity"])
 
-    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
-    return written(joined.mapInArrow(run, f"a {kind}, b {kind}, similarity double"))
+    joined = pairs.join(left, "rep").join(right, "lead").select("rep", "lead", "x", "y")
+    return written(joined.mapInArrow(run, "rep binary, lead binary, similarity double"))
 
 
-def connected(edges: DataFrame, kind: str) -> DataFrame:
+def connected(edges: DataFrame) -> DataFrame:
     """id, label for every end of an edge (a, b): the least id of its component.
 
     Labels and edges stay distributed; each round passes least labels to neighbours and jumps to the
@@ -218,108 +225,128 @@ def _samples(col: pa.Array) -> np.ndarray:
     return np.stack([np.frombuffer(x, np.uint32) for x in col.to_pylist()]) if len(col) else np.zeros((0, BANDS * ROWS), np.uint32)
 
 
-def _agreeing(pairs: DataFrame, sigs: DataFrame, least: float, kind: str) -> DataFrame:
-    """Pairs (a, b) that agree in a share of the samples."""
+def _in_blocks(rows: DataFrame) -> DataFrame:
+    """Rows of buckets (band, key, rep, size, ...) dealt to pairs (i, j) of their bucket's blocks; ``own`` is a row's block."""
+    n = rows.groupBy("band", "key").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("size") / BLOCK_BYTES)).cast("int").alias("n"))
+    d = rows.join(n, ["band", "key"]).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("n")).cast("int"))
+    d = d.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    return d.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("n", "other", "size")
+
+
+def _open_pairs(t: pa.Table) -> Iterator[tuple[int, np.ndarray]]:
+    """(row, later rows that may be similar) of a block: of other labels, and this is the first band they share."""
+    sig = _samples(t.column("samples"))
+    label = np.unique(t.column("label").to_numpy(zero_copy_only=False), return_inverse=True)[1]
+    own, band = t.column("own").to_numpy(), t.column("band")[0].as_py()
+    between = t.column("i")[0].as_py() != t.column("j")[0].as_py()
+    for x in range(len(sig) - 1):
+        later = x + 1 + np.flatnonzero((label[x + 1 :] != label[x]) & ((own[x + 1 :] != own[x]) if between else True))
+        same = sig[later] == sig[x]
+        close = same.mean(axis=1) >= MAYBE
+        if close.any():
+            first = same[close].reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1)
+            later = later[close][first == band]
+            if len(later):
+                yield x, later
+
+
+def _marked(rows: DataFrame) -> DataFrame:
+    """band, key, rep of the rows (band, key, rep, label, samples, size) that may be similar to one of another label."""
+
+    def run(t: pa.Table) -> pa.Table:
+        mark = np.zeros(t.num_rows, dtype=bool)
+        for x, later in _open_pairs(t):
+            mark[x] = True
+            mark[later] = True
+        return t.select(["band", "key", "rep"]).filter(pa.array(mark))
+
+    found = _in_blocks(rows).groupBy("band", "key", "i", "j").applyInArrow(run, "band int, key long, rep binary")
+    return found.distinct()
+
+
+def _links(rows: DataFrame, idf: Idf, threshold: float) -> DataFrame:
+    """a, b: links that join the labels of the rows (band, key, rep, label, samples, text, size) within their blocks."""
+    shared = rows.sparkSession.sparkContext.broadcast(idf)
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
+        doc, sh, weight, _, _ = weighted_shingles(*byte_view(t.column("text")), shared.value)
+        codes = np.unique(sh, return_inverse=True)[1]
+        begin = np.searchsorted(doc, np.arange(t.num_rows + 1))  # every text of a bucket has words
+        total = np.add.reduceat(weight, begin[:-1]) if len(doc) else weight
+        dense = np.zeros(len(codes) and int(codes.max()) + 1)
+        up = np.unique(t.column("label").to_numpy(zero_copy_only=False), return_inverse=True)[1].tolist()
+        parent = list(range(len(up)))
+
+        def top(k: int) -> int:
+            while parent[k] != k:
+                parent[k] = parent[parent[k]]
+                k = parent[k]
+            return k
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in batches:
-            same = (_samples(t.column("x")) == _samples(t.column("y"))).mean(axis=1)
-            yield t.filter(pa.array(same >= least)).select(["a", "b"])
-
-    left = sigs.select(F.col("rep").alias("a"), F.col("samples").alias("x"))
-    right = sigs.select(F.col("rep").alias("b"), F.col("samples").alias("y"))
-    return pairs.join(left, "a").join(right, "b").mapInArrow(run, f"a {kind}, b {kind}")
-
-
-def _screened(rows: DataFrame, keys: list[str], kind: str) -> DataFrame:
-    """Pairs (a, b) of different labels, one of side 0 and one of side 1 in the same group, that agree in MAYBE of the samples.
-
-    rows: keys, rep, label, samples, side. Each side of a group is cut into blocks, and each pair of blocks is one task's group.
-    """
-    n = rows.groupBy(*keys).agg(*[F.ceil(F.count_if(F.col("side") == s) / BLOCK).cast("int").alias(f"n{s}") for s in (0, 1)])
-    d = rows.join(n.where("n0 > 0 and n1 > 0"), keys)
-    own = F.when(F.col("side") == 0, F.col("n0")).otherwise(F.col("n1"))
-    other = F.when(F.col("side") == 0, F.col("n1")).otherwise(F.col("n0"))
-    d = d.withColumn("own", F.pmod(F.xxhash64("rep"), own).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), other - 1)))
-    d = d.select(*keys, "rep", "label", "samples", "side", F.when(F.col("side") == 0, F.col("own")).otherwise(F.col("other")).alias("i"), F.when(F.col("side") == 0, F.col("other")).otherwise(F.col("own")).alias("j"))
-
-    def compare(t: pa.Table) -> pa.Table:
-        side = t.column("side").to_numpy()
-        x, y = t.filter(pa.array(side == 0)), t.filter(pa.array(side == 1))
-        a, b = _samples(x.column("samples")), _samples(y.column("samples"))
         at, to = [], []
-        la, lb = x.column("label").to_pylist(), y.column("label").to_pylist()
-        for i in range(len(a)):
-            for j in np.flatnonzero((b == a[i]).mean(axis=1) >= MAYBE).tolist() if len(b) else []:
-                if la[i] != lb[j]:
-                    at.append(i)
-                    to.append(j)
-        return pa.table({"a": x.column("rep").take(pa.array(at, pa.int64())), "b": y.column("rep").take(pa.array(to, pa.int64()))})
-
-    pairs = d.groupBy(*keys, "i", "j").applyInArrow(compare, f"a {kind}, b {kind}")
-    return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()  # as in all tables of pairs
-
-
-def near_duplicate_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """id, class_id (the least id of the class), n_words for every document."""
-    d = docs.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text"))
+        for x, later in _open_pairs(t):
+            later = [y for y in later.tolist() if top(up[y]) != top(up[x])]
+            if not later:
+                continue
+            lo, hi = begin[x], begin[x + 1]
+            dense[codes[lo:hi]] = weight[lo:hi]
+            for y in later:
+                a, b = begin[y], begin[y + 1]
+                both = np.minimum(dense[codes[a:b]], weight[a:b]).sum()
+                if top(up[y]) != top(up[x]) and both >= threshold * (total[x] + total[y] - both):
+                    at.append(x)
+                    to.append(y)
+                    parent[top(up[y])] = top(up[x])
+            dense[codes[lo:hi]] = 0
+        rep = t.column("rep")
+        return pa.table({"a": rep.take(pa.array(at, pa.int64())), "b": rep.take(pa.array(to, pa.int64()))})
+
+    return _in_blocks(rows).groupBy("band", "key", "i", "j").applyInArrow(run, "a binary, b binary")
+
+
+def _classes(docs: DataFrame, doc_id: str, text: str, threshold: float) -> DataFrame:
+    """id, h (hash of the text), n_words, label (the same for all rows of a class) of every row, written."""
+    d = docs.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
     kind = d.schema["id"].dataType.simpleString()
     idf = word_idf(d)
     signed = written(_signed(d, idf, kind))
     known = signed.where("id is not null and n_words > 0")
-    first = F.min(F.struct("id", "bands", "samples")).alias("f")
-    reps = written(known.groupBy("whole", "n_words").agg(first).select("whole", "n_words", F.col("f.id").alias("rep"), F.col("f.bands").alias("bands"), F.col("f.samples").alias("samples")))
+    reps = written(known.groupBy("rep").agg(F.min(F.struct("id", "h", "bands", "samples")).alias("f")).select("rep", "f.*"))
     members = reps.select("rep", F.posexplode("bands").alias("band", "key"))
     crowded = members.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = written(members.join(crowded, ["band", "key"]))
-    active = written(shared.drop("n").join(shared.groupBy("rep").agg(F.sum("n").alias("central")), "rep"))
-    involved = written(active.select("rep").distinct())
-    sigs = written(reps.join(involved, "rep", "left_semi").select("rep", "samples"))
-    texts = written(d.join(involved.withColumnRenamed("rep", "id"), "id", "left_semi").dropDuplicates(["id"]))
+    central = written(shared.groupBy("rep").agg(F.sum("n").alias("central")))
+    texts = written(d.join(central.join(reps, "rep").select("rep", "id", "h", "samples"), ["id", "h"]).dropDuplicates(["rep"]).select("rep", "samples", "text", F.octet_length("text").alias("size")))
 
-    judged: list[DataFrame] = []
-    checked: list[DataFrame] = []
+    active = shared.join(central, "rep").select("rep", "band", "key", "central")
+    edges: list[DataFrame] = []
     for _ in range(ROUNDS):
-        lead = F.min(F.struct((-F.col("central")).alias("less"), "rep")).alias("lead")
-        leads = active.groupBy("band", "key").agg(lead, F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "key", F.col("lead.rep").alias("lead"))
-        rows = written(active.join(leads, ["band", "key"]).where("rep <> lead"))
-        if rows.limit(1).count() == 0:
-            active = rows.select("rep", "band", "key", "central")
-            break
-        pairs = rows.select(F.greatest("rep", "lead").alias("a"), F.least("rep", "lead").alias("b")).distinct()
-        if checked:
-            pairs = pairs.join(_union(checked).select("a", "b"), ["a", "b"], "left_anti")
-        checked.append(_verified(_agreeing(pairs, sigs, FAR, kind), texts, idf, kind))
-        sims = _union(checked).select("a", "b", "similarity")
-        now = rows.withColumns({"a": F.greatest("rep", "lead"), "b": F.least("rep", "lead")}).join(sims, ["a", "b"], "left")
-        now = written(now.drop("a", "b"))
-        judged.append(now)
-        active = now.where(F.col("similarity").isNull() | (F.col("similarity") < threshold)).select("rep", "band", "key", "central")
-
-    if judged:
-        every = _union(judged)
-        edges = written(every.where(F.col("similarity") >= threshold).select(F.col("rep").alias("a"), F.col("lead").alias("b")).distinct())
-        label = connected(edges, kind)
-        names = written(sigs.join(label.withColumnRenamed("id", "rep"), "rep", "left").select("rep", F.coalesce("label", "rep").alias("label"), "samples"))
-        more = []
-        rest = active.drop("central").join(active.groupBy("band", "key").count().where("count > 1").drop("count"), ["band", "key"]).join(names, "rep")
-        both = rest.withColumn("side", F.explode(F.array(F.lit(0), F.lit(1))))
-        more.append(_screened(both, ["band", "key"], kind))
-        lead = names.select(F.col("rep").alias("lead"), F.col("label").alias("lead_label"))
-        missed = every.where((F.col("similarity") < threshold) & (F.col("similarity") >= 2 * threshold - 1)).join(names, "rep").join(lead, "lead").where("label <> lead_label").withColumn("side", F.lit(0))
-        missed = written(missed.select("band", "key", "lead", "rep", "label", "samples", "side"))
-        linked = every.where(F.col("similarity") >= threshold).join(missed.select("band", "key", "lead").distinct(), ["band", "key", "lead"], "left_semi").join(names, "rep").withColumn("side", F.lit(1))
-        more.append(_screened(missed.unionByName(linked.select(*missed.columns)), ["band", "key", "lead"], kind))
-        late = written(_union(more).distinct().join(_union(checked).select("a", "b"), ["a", "b"], "left_anti"))
-        if late.limit(1).count():
-            new = written(_verified(late, texts, idf, kind).where(F.col("similarity") >= threshold).select("a", "b"))
-            if new.limit(1).count():
-                label = connected(edges.unionByName(new).distinct(), kind)
-        reps = reps.join(label.withColumnRenamed("id", "rep"), "rep", "left").select("whole", "n_words", F.coalesce("label", "rep").alias("class_id"))
-    else:
-        reps = reps.select("whole", "n_words", F.col("rep").alias("class_id"))
-    alone = signed.where("id is null or n_words = 0").select("id", F.col("id").alias("class_id"), "n_words")
-    return known.join(reps, ["whole", "n_words"]).select("id", "class_id", "n_words").unionByName(alone)
+        leads = active.groupBy("band", "key").agg(F.min(F.struct((-F.col("central")).alias("less"), F.col("rep").alias("lead"))).alias("best"), F.count(F.lit(1)).alias("n")).where("n > 1")
+        own = active.select("rep", "band", "key").join(leads.select("band", "key", "best"), ["band", "key"]).where("rep <> best.lead")
+        one = own.groupBy("rep").agg(F.min("best").alias("best")).select("rep", "best.lead")
+        checked = _verified(one, texts, idf)
+        edges.append(checked.where(F.col("similarity") >= threshold).select(F.col("rep").alias("a"), F.col("lead").alias("b")))
+        done = edges[-1].select(F.col("a").alias("rep")).unionByName(checked.select(F.col("lead").alias("rep"))).distinct()
+        active = written(active.join(done, "rep", "left_anti"))
+
+    label = connected(_union(edges))
+    names = written(central.join(label.withColumnRenamed("id", "rep"), "rep", "left").select("rep", F.coalesce("label", "rep").alias("label")))
+    rows = shared.select("band", "key", "rep").join(names, "rep")
+    several = rows.groupBy("band", "key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("band", "key")
+    left = written(rows.join(several, ["band", "key"]).select("band", "key", "rep", "label"))
+    marked = _marked(left.join(texts.select("rep", "samples"), "rep").withColumn("size", F.lit(0)))
+    late = written(_links(written(left.join(marked, ["band", "key", "rep"])).join(texts, "rep"), idf, threshold))
+    if late.limit(1).count():
+        label = connected(_union([*edges, late]))
+    return written(signed.join(label.withColumnRenamed("id", "rep"), "rep", "left").select("id", "h", "n_words", F.when(F.col("id").isNotNull() & (F.col("n_words") > 0), F.coalesce("label", "rep")).alias("label")))
+
+
+def near_duplicate_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """id, class_id (the least id of the class), n_words for every document."""
+    rows = _classes(docs, doc_id, text, threshold)
+    least = rows.where("label is not null").groupBy("label").agg(F.min("id").alias("class_id"))
+    return rows.join(least, "label", "left").select("id", F.coalesce("class_id", "id").alias("class_id"), "n_words")
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -330,10 +357,13 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """One document of each class (its least id) with all its columns; rows without an id stay."""
-    classes = written(near_duplicate_classes(docs, doc_id, text, threshold))
-    gone = classes.where("class_id <> id").select(F.col("id").alias(doc_id)).distinct()
-    kept = docs.join(gone, doc_id, "left_anti").select(*docs.columns)
-    if classes.where("id is not null").groupBy("id").count().where("count > 1").limit(1).count():
-        kept = kept.where(F.col(doc_id).isNotNull()).dropDuplicates([doc_id]).unionByName(kept.where(F.col(doc_id).isNull()))
+    """One document of each class (the one with the least id) with all its columns; rows without an id stay, rows with the same id and text are one."""
+    rows = _classes(docs, doc_id, text, threshold).where("id is not null")
+    first = rows.where("label is not null").groupBy("label").agg(F.min(F.struct("id", "h")).alias("first"))
+    gone = rows.join(first, "label").where("id <> first.id or h <> first.h").select(F.col("id").alias("__id"), F.col("h").alias("__h")).distinct()
+    h = F.xxhash64(F.col(text).cast("string"))
+    kept = docs.join(gone, (docs[doc_id] == F.col("__id")) & (h == F.col("__h")), "left_anti")
+    if rows.groupBy("id", "h").count().where("count > 1").limit(1).count():
+        hashed = kept.withColumn("__h", h)
+        kept = hashed.where(F.col(doc_id).isNotNull()).dropDuplicates([doc_id, "__h"]).unionByName(hashed.where(F.col(doc_id).isNull())).select(*docs.columns)
     return kept

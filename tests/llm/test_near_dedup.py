@@ -86,8 +86,11 @@ def test_samples_agree_as_often_as_weights(spark):
     assert abs((s[0] == s[1]).mean() - nd.weighted_jaccard(x, y)) < 0.13
 
 
-def test_chains_and_large_groups(spark):
-    """Near copies of near copies, and a group in which most pairs of members are not similar to each other."""
+@pytest.mark.parametrize("block, size", [(512, 4 << 20), (7, 4 << 20), (512, 3000)])
+def test_chains_and_large_groups(spark, monkeypatch, block, size):
+    """Near copies of near copies, and a group in which most pairs of members are not similar to each other; also with small blocks."""
+    monkeypatch.setattr(nd, "BLOCK", block)
+    monkeypatch.setattr(nd, "BLOCK_BYTES", size)
     r = random.Random(8)
     base = [f"a{i}" for i in range(300)]
     rows, w = [], list(base)
@@ -111,7 +114,26 @@ def test_edges(spark):
     docs = spark.createDataFrame([(1, "a b c d e f", 5), (1, "a b c d e f", 5), (2, "a b c d e f", 6)], "doc_id long, text string, id int")
     assert {(x["id"], x["class_id"]) for x in nd.near_duplicate_classes(docs).collect()} == {(1, 1), (2, 1)}
     assert [x["doc_id"] for x in nd.drop_near_duplicates(docs).collect()] == [1]
+    twice = spark.createDataFrame([(1, "a b c d e f"), (1, "one two three four five six"), (2, "a b c d e f"), (0, "One, two three four five six"), (None, "a b c d e f"), (3, ""), (3, "")], "doc_id long, text string")
+    kept = sorted(((x["doc_id"], x["text"]) for x in nd.drop_near_duplicates(twice).collect()), key=str)
+    assert kept == [(0, "One, two three four five six"), (1, "a b c d e f"), (3, ""), (None, "a b c d e f")]
     assert nd.near_duplicate_classes(docs.limit(0)).count() == 0
     assert nd.drop_near_duplicates(docs.limit(0)).count() == 0
     alone = spark.createDataFrame([(1, "x y z"), (2, "quite other words")], "doc_id long, text string")
     assert nd.drop_near_duplicates(alone).count() == 2
+
+
+def test_very_long_texts(spark):
+    w = [f"l{i}" for i in range(120_000)]
+    rows = [(1, " ".join(w)), (2, " ".join([*w[:60_000], "x", *w[60_000:]])), (3, " ".join(f"m{i}" for i in range(120_000))), (4, "x" * 1_000_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {x["id"]: x["class_id"] for x in nd.near_duplicate_classes(docs).collect()} == {1: 1, 2: 1, 3: 3, 4: 4}
+
+
+def test_query_against_brute_force(spark, tmp_path):
+    from raschmill.llm.queries import op7_near_dedup
+
+    spark.createDataFrame([(*r, "en") for r in corpus(7)], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = op7_near_dedup(spark, str(tmp_path)).collect()
+    want, _ = brute(corpus(7))
+    assert {r["doc_id"]: r["class_id"] for r in got if r["doc_id"] is not None} == want
