@@ -21,14 +21,30 @@ def test_pack_round_trip(width):
     assert (packed_ids.unpack(blob, width, 333, 777) == ids[333:777]).all()
 
 
-def test_chunks_equal_library():
+@pytest.mark.parametrize("entries", [600_000, 50])
+def test_runs_equal_library(monkeypatch, entries):
+    monkeypatch.setattr(packed_ids, "CACHE_ENTRIES", entries)
     t, r = Tokenizer.from_file(PATH), random.Random(2)
-    enc = packed_ids.ChunkEncoder(PATH)
-    pool = "abc ABC é́ \n\t\x85\xa0　'sst1 23 <|endoftext|> ΑΣ σ İ 日本😀.,"
-    texts = ["", " ", "<|startoftext|>a <|endoftext|>"] + ["".join(r.choice(pool) for _ in range(r.randint(0, 40))) for _ in range(1500)]
-    ids, bounds = enc.encode_all(texts, 2)
-    for i, x in enumerate(texts):
-        assert ids[bounds[i] : bounds[i + 1]].tolist() == [*t.encode(x, add_special_tokens=False).ids, 2], repr(x)
+    enc = packed_ids.RunEncoder(PATH)
+    pool = "abc ABC é́ \n\t\x85\xa0　'sst1 23 <|endoftext|> ΑΣ σ İ 日本😀.,W̊É,ß.\x00µ×."
+    texts = ["", None, " ", "<|startoftext|>a <|endoftext|>", "x" * 33 + " " + "x" * 34, "ab" * 500 + ",", "a\x00 a a\x00\x00"]
+    texts += ["".join(r.choice(pool) for _ in range(r.randint(0, 40))) for _ in range(3000)]
+    texts += [" ".join("".join(r.choice("abAB.,") for _ in range(r.randint(1, 30))) for _ in range(20)) for _ in range(300)]
+    texts += ["".join(r.choice("aÉ'é.,(st«ªµ1×÷C ") for _ in range(25)) for _ in range(2000)]
+    for i in range(0, len(texts), 500):
+        some = texts[i : i + 500]
+        ids, bounds = enc.encode_all(some, 2)
+        for j, x in enumerate(some):
+            assert ids[bounds[j] : bounds[j + 1]].tolist() == [*t.encode(x or "", add_special_tokens=False).ids, 2], repr(x)
+
+
+def test_equal_hashes_are_told_apart(monkeypatch):
+    monkeypatch.setattr(packed_ids, "mix", lambda h: h & np.uint64(3))
+    t, enc = Tokenizer.from_file(PATH), packed_ids.RunEncoder(PATH)
+    texts = [f"word{i} longer{i}than{i}eight{i}bytes a{i % 7}." for i in range(200)]
+    for _ in range(2):
+        ids, bounds = enc.encode_all(texts, 2)
+        assert [ids[bounds[i] : bounds[i + 1]].tolist() for i in range(200)] == [[*t.encode(x, add_special_tokens=False).ids, 2] for x in texts]
 
 
 def expected(rows):
