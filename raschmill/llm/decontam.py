@@ -5,13 +5,16 @@ Words are lower-cased (A-Z) runs of digits, letters and non-ASCII characters. Ev
 hash set. Documents are scanned once: the hash of every word window is looked up, each hit is
 verified on the words themselves, and verified hits mark the words they cover.
 
-The set is only broadcast up to MAX_BLOCK_BYTES of benchmark text. A larger benchmark is split
-by item into blocks of about that size; the documents are scanned once for each block and the
-covered spans are united, so the broadcast stays bounded and no item is left out.
+The set holds sorted arrays: a hash and a place for each window, and the benchmark's words once, about five
+bytes for each byte of ordinary text and 16 at worst (words of one letter). It is broadcast for MAX_BLOCK_BYTES of
+benchmark text at a time. A larger benchmark is split by item into blocks of about that size; the spans and
+items that a block finds travel with the document's row to the next block's pass (written to the shared folder between
+passes), so each row is judged by itself at every size, and no item is left out.
 
 Defined results: a null or empty text has no words, no hits and is clean; an empty benchmark
-hits nothing; a null item id is written "null"; repeated rows each get their own result; other
-columns of the input, whatever their names, do not matter.
+hits nothing; a null item id is written "null"; repeated rows, and rows with the same or no id, each get their own
+result; very long texts are scanned whole, as a slice of their own (an item longer than the bound is a block of its own);
+other columns of the input, whatever their names, do not matter.
 """
 
 from __future__ import annotations
@@ -23,63 +26,81 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, byte_view, ngrams, sliced
+from .common import Words, byte_view, ngrams, sliced, written
 
 WINDOW = 13
-MAX_BLOCK_BYTES = 32 << 20
+MAX_BLOCK_BYTES = 8 << 20
 _BITS = 20
-
-RESULT = "id {}, n_words long, n_hit long, items array<string>, spans array<struct<first:long,last:long>>"
+_SPAN = pa.struct([("first", pa.int64()), ("last", pa.int64())])
+_FOUND = [("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("spans", pa.list_(_SPAN))]
+_KINDS = ["long", "long", "array<string>", "array<struct<first:long,last:long>>"]
 
 
 class NGramSet:
-    """Windows of benchmark items by word count: hash -> {window words: item ids}."""
+    """Windows of benchmark items: for each word count, their sorted hashes and first words."""
 
     def __init__(self, rows: list[tuple[object, str | None]], n: int = WINDOW):
-        self.by_len: dict[int, dict[int, dict[bytes, tuple[str, ...]]]] = {}
-        for item, text in rows:
-            w = Words(*byte_view(pa.array([text], pa.string())))
-            k = min(n, len(w.start))
-            if not k:
-                continue
-            at, h = ngrams(w.hashes(), w.doc, k)
-            for i, x in zip(at.tolist(), h.tolist()):
-                ids = self.by_len.setdefault(k, {}).setdefault(x, {})
-                name, key = "null" if item is None else str(item), w.text(i, k)
-                if name not in ids.get(key, ()):
-                    ids[key] = (*ids.get(key, ()), name)
-        self.keys = {k: np.sort(np.fromiter(v, np.uint64, len(v))) for k, v in self.by_len.items()}
-        self.bitmap = {}
-        for k, v in self.keys.items():
-            self.bitmap[k] = np.zeros(1 << _BITS, dtype=bool)
-            self.bitmap[k][(v & np.uint64((1 << _BITS) - 1)).astype(np.int64)] = True
-
-    def hits(self, w: Words) -> Iterator[tuple[int, int, tuple[str, ...]]]:
-        """(first word, number of words, item ids) of every verified occurrence of a window."""
+        self.names = ["null" if item is None else str(item) for item, _ in rows]
+        w = Words(*byte_view(pa.array([t for _, t in rows], pa.string())))
+        size = w.end - w.start
+        self.end = np.cumsum(size + 1, dtype=np.int64) - 1
+        self.start = self.end - size
+        self.item = w.doc.astype(np.int32)
+        blob = np.full(int(self.end[-1]) + 1 if len(size) else 0, 32, dtype=np.uint8)
+        if len(size):
+            blob[np.repeat(self.start - (np.cumsum(size) - size), size) + np.arange(size.sum())] = w.low[np.repeat(w.start - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+        self.blob = blob.tobytes()
+        hashes, counts = w.hashes(), w.counts()
+        self.keys: dict[int, np.ndarray] = {}
+        self.place: dict[int, np.ndarray] = {}
+        self.bitmap: dict[int, np.ndarray] = {}
+        for k in np.unique(np.minimum(counts, n)).tolist():
+            if k:
+                at, h = ngrams(hashes, w.doc, k)
+                own = np.minimum(counts, n)[w.doc[at]] == k
+                at, h = at[own], h[own]
+                order = np.argsort(h, kind="stable")
+                self.keys[k], self.place[k] = h[order], at[order].astype(np.int32)
+                self.bitmap[k] = np.zeros(1 << _BITS, dtype=bool)
+                self.bitmap[k][(h & np.uint64((1 << _BITS) - 1)).astype(np.int64)] = True
+
+    def hits(self, w: Words) -> Iterator[tuple[int, int, set[int]]]:
+        """(first word, number of words, items) of every verified occurrence of a window."""
         hashes = w.hashes() if self.keys else None
         for k, keys in self.keys.items():
             at, h = ngrams(hashes, w.doc, k)
             maybe = np.flatnonzero(self.bitmap[k][(h & np.uint64((1 << _BITS) - 1)).astype(np.int64)])
-            h = h[maybe]
-            found = keys[np.minimum(np.searchsorted(keys, h), len(keys) - 1)] == h
-            for i, x in zip(at[maybe[found]].tolist(), h[found].tolist()):
-                if ids := self.by_len[k][x].get(w.text(i, k)):
-                    yield i, k, ids
-
-
-def _scan(grams: NGramSet, text: pa.Array):
-    """For each row: words, covered words, item ids, and the covered spans as (first, last) word."""
-    for _, _, data, offs in sliced(text):
+            at, h = at[maybe], h[maybe]
+            lo, hi = np.searchsorted(keys, h), np.searchsorted(keys, h, side="right")
+            for x in np.flatnonzero(hi > lo).tolist():
+                text, items = w.text(int(at[x]), k), set()
+                for p in self.place[k][lo[x] : hi[x]].tolist():
+                    if (i := int(self.item[p])) not in items and self.blob[self.start[p] : self.end[p + k - 1]] == text:
+                        items.add(i)
+                if items:
+                    yield int(at[x]), k, items
+
+
+def _scan(grams: NGramSet, text: pa.Array, before: list[tuple[list[str], list[dict]]] | None):
+    """For each row: words, covered words, item names, and the covered spans as (first, last) word, with what earlier blocks found."""
+    for lo, _, data, offs in sliced(text):
         w = Words(data, offs)
         change = np.zeros(len(w.start) + 1, dtype=np.int64)
+        counts = w.counts()
+        base = np.concatenate(([0], np.cumsum(counts)))
         items: dict[int, set[str]] = {}
-        for i, k, ids in grams.hits(w):
+        for i, k, found in grams.hits(w):
             change[i] += 1
             change[i + k] -= 1
-            items.setdefault(int(w.doc[i]), set()).update(ids)
-        counts = w.counts()
+            items.setdefault(int(w.doc[i]), set()).update(grams.names[x] for x in found)
+        if before:
+            for d, (names, spans) in enumerate(before[lo : lo + w.n_docs]):
+                if names:
+                    items.setdefault(d, set()).update(names)
+                    for s in spans:
+                        change[base[d] + s["first"]] += 1
+                        change[base[d] + s["last"] + 1] -= 1
         covered = np.cumsum(change[:-1]) > 0
-        base = np.concatenate(([0], np.cumsum(counts)))
         n_hit = np.bincount(w.doc[covered], minlength=w.n_docs)
         for d in range(w.n_docs):
             spans: list[dict] = []
@@ -99,47 +120,35 @@ def _benchmark_blocks(benchmark: DataFrame, item: str, text: str) -> Iterator[li
         yield [(r[0], r[1]) for r in part.collect()]
 
 
-def _scanned(docs: DataFrame, doc_id: str, text: str, grams: NGramSet) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(grams)
-    two = docs.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text"))
+def _found(docs: DataFrame, benchmark: DataFrame, text: str, item_id: str, item_text: str, n: int) -> tuple[DataFrame, list[str]]:
+    """The documents with four more columns (words, hits, items, spans), and their names."""
+    plain = docs.columns
+    free = [x for x in (f"found_{i}" for i in range(len(plain) + len(_FOUND))) if x not in plain][: len(_FOUND)]
+    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + "".join(f", {x} {k}" for x, k in zip(free, _KINDS))
+    out = docs
+
+    def scanned(df: DataFrame, grams: NGramSet, again: bool) -> DataFrame:
+        shared = df.sparkSession.sparkContext.broadcast(grams)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = list(_scan(shared.value, b.column("text")))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    b.column("id"),
-                    pa.array([r[0] for r in rows], pa.int64()),
-                    pa.array([r[1] for r in rows], pa.int64()),
-                    pa.array([r[2] for r in rows], pa.list_(pa.string())),
-                    pa.array([r[3] for r in rows], pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))),
-                ],
-                ["id", "n_words", "n_hit", "items", "spans"],
-            )
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                own = [b.column(i) for i in range(len(plain))]
+                before = list(zip(b.column(len(plain) + 2).to_pylist(), b.column(len(plain) + 3).to_pylist())) if again else None
+                rows = list(_scan(shared.value, own[plain.index(text)].cast(pa.string()), before))
+                yield pa.RecordBatch.from_arrays([*own, *(pa.array([r[i] for r in rows], t) for i, (_, t) in enumerate(_FOUND))], [*plain, *free])
 
-    return two.mapInArrow(run, RESULT.format(two.schema["id"].dataType.simpleString()))
+        return df.mapInArrow(run, kind)
+
+    for i, rows in enumerate(_benchmark_blocks(benchmark, item_id, item_text)):
+        out = scanned(written(out) if i else out, NGramSet(rows, n), i > 0)
+    return out, free
 
 
 def scan_contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", n: int = WINDOW) -> DataFrame:
-    """id, n_words, n_hit, items (sorted), spans (covered words as first/last position) per document.
-
-    With more than one benchmark block the ids must be unique, as the blocks' spans are united by id.
-    """
-    parts = [_scanned(docs, doc_id, text, NGramSet(rows, n)) for rows in _benchmark_blocks(benchmark, item_id, item_text)]
-    if len(parts) == 1:
-        return parts[0]
-    both = parts[0]
-    for p in parts[1:]:
-        both = both.unionByName(p)
-    merged = both.groupBy("id").agg(F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("s"))
-    joined = F.aggregate(
-        "s",
-        F.expr("cast(array() as array<struct<first:bigint,last:bigint>>)"),
-        lambda acc, x: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["last"] >= x["first"] - 1), F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(F.element_at(acc, -1)["first"].alias("first"), F.greatest(F.element_at(acc, -1)["last"], x["last"]).alias("last"))))).otherwise(F.concat(acc, F.array(x))),
-    )
-    merged = merged.withColumn("spans", joined)
-    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["last"] - x["first"] + 1)
-    return merged.select("id", "n_words", n_hit.alias("n_hit"), "items", "spans")
+    """id, n_words, n_hit, items (sorted), spans (covered words as first/last position) per document; no shuffle."""
+    two = docs.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text"))
+    out, free = _found(two, benchmark, "text", item_id, item_text, n)
+    return out.select("id", *[F.col(x).alias(name) for x, (name, _) in zip(free, _FOUND)])
 
 
 def is_contaminated(n_hit, n_words):
@@ -148,22 +157,6 @@ def is_contaminated(n_hit, n_words):
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", n: int = WINDOW) -> DataFrame:
-    """The documents that the rule does not reject, with all their columns.
-
-    One pass without a shuffle while the benchmark fits one block; beyond that the blocks' spans
-    are united by scan_contamination and the rejected ids anti-joined (null ids are then kept).
-    """
-    blocks = _benchmark_blocks(benchmark, item_id, item_text)
-    first = next(blocks)
-    if next(blocks, None) is not None:
-        found = scan_contamination(docs, benchmark, doc_id, text, item_id, item_text, n)
-        bad = found.where(is_contaminated(F.col("n_hit"), F.col("n_words"))).select(F.col("id").alias(doc_id))
-        return docs.join(bad, doc_id, "left_anti")
-    shared = docs.sparkSession.sparkContext.broadcast(NGramSet(first, n))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = _scan(shared.value, b.column(b.schema.get_field_index(text)).cast(pa.string()))
-            yield b.filter(pa.array([not (r[1] and 20 * r[1] >= r[0]) for r in rows], pa.bool_()))
-
-    return docs.mapInArrow(run, docs.schema)
+    """The documents that the rule does not reject, with all their columns; no shuffle."""
+    out, free = _found(docs, benchmark, text, item_id, item_text, n)
+    return out.where(~is_contaminated(F.col(free[1]), F.col(free[0]))).select(*[f"`{c}`" for c in docs.columns])
