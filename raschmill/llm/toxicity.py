@@ -12,11 +12,14 @@ With two labels the forward and backward messages are ratios that change by a Mo
 to token. Maps compose, so a slice of many texts is cut into equal columns, whose composed maps link
 them: exact messages in few vectorised steps, whatever the length of a text.
 
-Fitting uses the bounded sample of labelled.py; scoring is one pass without a shuffle over whole
+Fitting uses the bounded sample of labelled.py, whose words are numbered slice by slice; gradients are summed over
+chunks of whole documents of about CHUNK tokens, so the driver's memory does not hold the messages of the whole
+sample; scoring is one pass without a shuffle over whole
 texts, and the model that is broadcast has a fixed size (2 ** BITS weights).
 
 Defined results: a null or empty text scores as one without tokens; without labelled rows of both
-classes every score is the share of toxic rows (0.5 without any); repeated rows are scored each.
+classes every score is the share of toxic rows (0.5 without any); repeated rows are scored each; a very long text is
+scored whole, as a slice of its own.
 """
 
 from __future__ import annotations
@@ -29,11 +32,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Prefix, Words, byte_view, mix, sliced
+from .common import Prefix, Words, mix, sliced, slices
 from .labelled import labelled_sample
 
 BITS = 18
 ROUNDS = 60
+CHUNK = 1 << 18
 #: Least likelihood-ratio statistic for a feature to mark tokens of toxic documents.
 SIGNIFICANT = 20.0
 _U = np.uint64
@@ -54,7 +58,7 @@ def ratios(p: np.ndarray, q: np.ndarray, s: np.ndarray, t: np.ndarray) -> np.nda
     n = len(p)
     if not n:
         return np.zeros(0)
-    rows = max(1, int(n**0.5))
+    rows = max(1, int(n**0.5 / 4))
     cols = -(-n // rows)
     pad = rows * cols - n
 
@@ -137,65 +141,103 @@ class ToxicityModel:
         return np.stack([np.ones(n), np.log1p(expected), most, 1 - np.exp(none), expected >= 1.5], axis=1)
 
 
-def fit(rows: list[tuple[str, int]], rounds: int = ROUNDS) -> ToxicityModel:
-    y = np.array([r[1] for r in rows], dtype=float)
-    if not len(y) or y.min() == y.max():
-        return ToxicityModel(prior=float(y.mean()) if len(y) else 0.5)
-    w = Words(*byte_view(pa.array([r[0] for r in rows], pa.string())))
-    _, at, back = np.unique(w.hashes(), return_index=True, return_inverse=True)
-    feats, toxic = token_features(w, at), y[w.doc] > 0
-
-    # Documents of each class that have a feature, over the word and its beginnings. Toxic ones count no
-    # more than the feature has different neighbours there, so that copies of a text are no evidence.
-    h = w.hashes()
-    around = np.zeros(len(h), dtype=np.uint64)
-    near = w.doc[1:] == w.doc[:-1]
-    around[1:][near] = h[:-1][near]
-    around[:-1][near] += mix(h[1:][near])
-    around &= _U((1 << 40) - 1)
-    mark = np.zeros(len(at), dtype=bool)
+@dataclass
+class _Tokens:
+    """The words of a sample: each one's document, distinct word and toxicity; features of distinct words."""
+
+    doc: np.ndarray
+    word: np.ndarray
+    feats: np.ndarray
+    toxic: np.ndarray
+    #: Hash of the neighbours of each toxic token.
+    around: np.ndarray
+    #: Number of tokens before each document.
+    begin: np.ndarray
+
+
+def _tokens(texts: list[str], y: np.ndarray) -> _Tokens:
+    doc, word, names, feats, around = [], [], [], [], []
+    for lo, hi, data, offs in sliced(pa.array(texts, pa.string())):
+        w = Words(data, offs)
+        h = w.hashes()
+        name, at, back = np.unique(h, return_index=True, return_inverse=True)
+        beside = np.zeros(len(h), dtype=np.uint64)
+        near = w.doc[1:] == w.doc[:-1]
+        beside[1:][near] = h[:-1][near]
+        beside[:-1][near] += mix(h[1:][near])
+        doc.append((w.doc + lo).astype(np.int32))
+        word.append(back.astype(np.int32))
+        names.append(name)
+        feats.append(token_features(w, at).astype(np.int32))
+        around.append(beside[y[doc[-1]] > 0] & _U((1 << 40) - 1))
+    _, first, back = np.unique(np.concatenate(names), return_index=True, return_inverse=True)
+    base = np.cumsum([0, *map(len, names)])
+    word = np.concatenate([back[base[i] + w] for i, w in enumerate(word)]).astype(np.int32)
+    doc = np.concatenate(doc)
+    begin = np.concatenate(([0], np.cumsum(np.bincount(doc, minlength=len(texts)))))
+    return _Tokens(doc, word, np.concatenate(feats)[first], y[doc] > 0, np.concatenate(around), begin)
+
+
+def _marked(t: _Tokens, y: np.ndarray) -> np.ndarray:
+    """Whether each distinct word marks toxic tokens.
+
+    Counts documents of each class that have a feature, over the word and its beginnings. Toxic ones count no
+    more than the feature has different neighbours there, so that copies of a text are no evidence.
+    """
+    mark = np.zeros(len(t.feats), dtype=bool)
     n1, n0 = y.sum(), (1 - y).sum()
     for k in range(1 + len(_HEADS)):
-        pair = np.unique(w.doc * (1 << BITS) + feats[back, k])
+        pair = np.unique(t.doc.astype(np.int64) * (1 << BITS) + t.feats[t.word, k])
         has, d = pair & ((1 << BITS) - 1), pair >> BITS
         a = np.bincount(has, weights=y[d], minlength=1 << BITS)
         b = np.bincount(has, weights=1 - y[d], minlength=1 << BITS)
-        contexts = np.unique((feats[back[toxic], k].astype(np.uint64) << _U(40)) | around[toxic]) >> _U(40)
+        contexts = np.unique((t.feats[t.word[t.toxic], k].astype(np.uint64) << _U(40)) | t.around) >> _U(40)
         a = np.minimum(a, np.bincount(contexts.astype(np.int64), minlength=1 << BITS))
         share = (a + b) / (n1 + n0)
         with np.errstate(divide="ignore", invalid="ignore"):
             ll = lambda o, e: np.where(o > 0, o * np.log(o / e), 0.0)
             g2 = 2 * (ll(a, n1 * share) + ll(b, n0 * share) + ll(n1 - a, n1 * (1 - share)) + ll(n0 - b, n0 * (1 - share)))
-        mark |= ((g2 > SIGNIFICANT) & (a / n1 > 4 * (b + 0.5) / n0))[feats[:, k]]
-    label = mark[back] & toxic
+        mark |= ((g2 > SIGNIFICANT) & (a / n1 > 4 * (b + 0.5) / n0))[t.feats[:, k]]
+    return mark
+
+
+def fit(rows: list[tuple[str, int]], rounds: int = ROUNDS) -> ToxicityModel:
+    y = np.array([r[1] for r in rows], dtype=float)
+    if not len(y) or y.min() == y.max():
+        return ToxicityModel(prior=float(y.mean()) if len(y) else 0.5)
+    t = _tokens([r[0] for r in rows], y)
+    label = _marked(t, y)[t.word] & t.toxic
+    chunks = [(lo, hi, t.begin[lo], t.begin[hi]) for lo, hi in slices(t.begin, CHUNK)]
 
-    n = len(w.start)
-    size = 1 << BITS
+    n, size = len(t.word), 1 << BITS
     theta = np.zeros(size + 6)
     theta[size] = np.log((label.sum() + 1) / (n + 2))
     mean, var = np.zeros_like(theta), np.zeros_like(theta)
-    same = w.doc[1:] == w.doc[:-1]
+    same = t.doc[1:] == t.doc[:-1]
     seen = np.bincount((label[:-1] * 2 + label[1:])[same], minlength=4).reshape(2, 2)
-    begins = np.concatenate(([True], ~same))
     scale = max(1.0, float(label.sum()))
     for k in range(rounds):  # Adam on the exact gradient
-        emission = theta[size] + theta[:size][feats].sum(axis=1)
-        c = Chain(emission[back], w.doc, theta[size + 1 : size + 5].reshape(2, 2), theta[size + 5])
-        m = c.marginals()
-        miss = m - label
-        by_word = np.bincount(back, weights=miss, minlength=len(at))
+        emission = theta[size] + theta[:size][t.feats].sum(axis=1)
+        by_word, pairs, begins = np.zeros(len(t.feats)), -seen.astype(float), 0.0
+        for _, _, a, b in chunks:
+            c = Chain(emission[t.word[a:b]], t.doc[a:b], theta[size + 1 : size + 5].reshape(2, 2), theta[size + 5])
+            miss = c.marginals() - label[a:b]
+            by_word += np.bincount(t.word[a:b], weights=miss, minlength=len(by_word))
+            pairs += c.pairs()
+            begins += miss[c.first].sum()
         g = np.zeros_like(theta)
-        g[:size] = np.bincount(feats.ravel(), weights=np.repeat(by_word, feats.shape[1]), minlength=size)
-        g[size] = miss.sum()
-        g[size + 1 : size + 5] = (c.pairs() - seen).ravel()
-        g[size + 5] = miss[begins].sum()
+        g[:size] = np.bincount(t.feats.ravel(), weights=np.repeat(by_word, t.feats.shape[1]), minlength=size)
+        g[size] = by_word.sum()
+        g[size + 1 : size + 5] = pairs.ravel()
+        g[size + 5] = begins
         g = g / scale + 1e-4 * theta
         mean = 0.9 * mean + 0.1 * g
         var = 0.99 * var + 0.01 * g * g
         theta -= 0.3 * (mean / (1 - 0.9 ** (k + 1))) / (np.sqrt(var / (1 - 0.99 ** (k + 1))) + 1e-6)
     model = ToxicityModel(float(y.mean()), theta[:size].astype(np.float32), float(theta[size]), theta[size + 1 : size + 5].reshape(2, 2), float(theta[size + 5]))
-    m = Chain(model.emissions(w), w.doc, model.trans, model.start).marginals()
-    x, beta = model._summary(m, w.doc, len(y)), np.zeros(5)
+    emission = model.bias + model.weights[t.feats].sum(axis=1)
+    x = np.concatenate([model._summary(Chain(emission[t.word[a:b]], t.doc[a:b], model.trans, model.start).marginals(), t.doc[a:b] - lo, hi - lo) for lo, hi, a, b in chunks])
+    beta = np.zeros(5)
     for _ in range(30):  # Newton steps of a ridge logistic regression
         p = 1 / (1 + np.exp(-x @ beta))
         h = (x * (p * (1 - p))[:, None]).T @ x + np.diag([1e-6, 0.1, 0.1, 0.1, 0.1])

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from raschmill.llm import quality, toxicity
+from raschmill.llm import common, quality, toxicity
 from raschmill.llm.common import Words, byte_view
 from raschmill.llm.labelled import labelled_sample
 from raschmill.llm.queries import op3_quality, op10_toxicity
@@ -29,12 +29,37 @@ def held_out(spark, found, label):
 def test_toxicity_query(spark):
     f = op10_toxicity(spark, SF)
     y, s, p = held_out(spark, f, "toxic")
-    assert auc(y, s) > 0.8 and np.mean(np.array(y) == p) > 0.9
+    assert auc(y, s) > 0.8 and np.mean(np.array(y) == p) > np.mean(np.array(y) == 0)
     for r in f.collect():
         assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0)
         assert 0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5)
 
 
+def test_toxicity_on_more_rows(spark):
+    """About 120 held-out toxic documents: nearly all are found, few clean ones are taken for them."""
+    sf = "/root/testdata/sf0.1"
+    y = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    rows = [r for r in op10_toxicity(spark, sf).select("doc_id", "held_out", "score", "predicted").collect() if r["held_out"] and y.get(r["doc_id"]) is not None]
+    truth, said = np.array([y[r["doc_id"]] for r in rows]), np.array([r["predicted"] for r in rows])
+    assert auc(truth, [r["score"] for r in rows]) > 0.93
+    assert (truth == said).mean() > 0.5 * (1 + (truth == 0).mean())
+
+
+def test_votes_against_brute_force(spark):
+    """Every score is the vote of the nearest labelled vectors, counted here one document at a time."""
+    rows = toy(150, seed=3)
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)] + [(999, "odd, other WORDS 77")], "doc_id long, text string")
+    m = quality.fit(rows, *quality.document_frequencies(docs))
+    got = {r["id"]: r["score"] for r in quality.score(docs, m).collect()}
+    for r in docs.collect():
+        z = m.project(quality.term_counts(*byte_view(pa.array([r["text"]]))))[0].astype(np.float64)
+        cos = sorted(((float(z @ v), y) for v, y in zip(m.vectors.astype(np.float64), m.labels)), reverse=True)
+        edge = cos[quality.NEIGHBOURS - 1][0]
+        near = cos[: quality.NEIGHBOURS]
+        w = [max(c, 0) ** quality.SHARPNESS + 1e-12 for c, _ in near]
+        assert abs(got[r["doc_id"]] - sum(a * y for a, (_, y) in zip(w, near)) / sum(w)) < 0.02 or abs(cos[quality.NEIGHBOURS][0] - edge) < 1e-6
+
+
 def test_quality_query(spark):
     f = op3_quality(spark, SF)
     y, s, p = held_out(spark, f, "quality")
@@ -93,6 +118,15 @@ def test_spans_and_long_texts(spark):
     assert toxicity.score(docs.limit(0), m).count() == 0
 
 
+def test_fit_does_not_depend_on_chunks_and_slices(monkeypatch):
+    rows = [*toy(120), ("", 0), ("vilewort " * 3, 1)]
+    whole = toxicity.fit(rows)
+    monkeypatch.setattr(toxicity, "CHUNK", 100)
+    monkeypatch.setattr(toxicity, "sliced", lambda col: common.sliced(col, 500))
+    parts = toxicity.fit(rows)
+    assert np.allclose(whole.weights, parts.weights, atol=1e-5) and np.allclose(whole.doc, parts.doc, atol=1e-5)
+
+
 def test_without_labels(spark):
     assert toxicity.fit([]).score(Words(*byte_view(pa.array(["a b", None]))))[0].tolist() == [0.5, 0.5]
     assert toxicity.fit([("a", 1), ("b", 1)]).score(Words(*byte_view(pa.array(["a"]))))[0].tolist() == [1.0]
