@@ -2,7 +2,10 @@
 
 The table of answers is counted once by person, item and covariates. A sweep then updates abilities
 (one aggregation by person and scale), item parameters (one by item, each a 4 x 4 system solved where
-its row is), covariate effects (one row of sums) and estimated means. Beyond LOCAL counted answers, person
+its row is), and estimated means. Covariate effects, and the means that go with them, take a joint step with the
+parameters they are added to: each person's or item's own system is eliminated (Schur complement), a small system of
+sums is solved in the driver, and its solution goes back into each system. In turn they would hardly move, as a shift of all
+parameters along a covariate changes nothing but their priors. Beyond LOCAL counted answers, person
 and item parameters stay distributed tables and only sums over everything come to the driver; each sweep's
 tables are written to the shared folder, so lineage does not grow and a lost executor costs one step. Up to
 LOCAL the same sweeps run on arrays in the driver, as a fit to the tolerance can take hundreds of them.
@@ -186,53 +189,100 @@ class _Fit:
     # ---- steps
 
     def step_abilities(self) -> None:
-        sums = self.rows().groupBy("id", "Scale").agg(F.sum(F.col("r") * F.col("u_t")).alias("g"), F.sum(F.col("w") * F.col("u_t") * F.col("u_t")).alias("i"))
-        t = self.theta.join(sums, ["id", "Scale"], "left").na.fill(0.0, ["g", "i"])
+        preds = self.config.person_preds
+        info = F.col("w") * F.col("u_t") * F.col("u_t")
+        aggs = [F.sum(F.col("r") * F.col("u_t")).alias("g"), F.sum(info).alias("i")]
+        for n, x in enumerate(preds):
+            aggs += [F.sum(info * F.col(x)).alias(f"c{n}"), F.sum(F.col("r") * F.col("u_t") * F.col(x)).alias(f"gb{n}")]
+            aggs += [F.sum(info * F.col(x) * F.col(y)).alias(f"hb{n}_{m}") for m, y in enumerate(preds[: n + 1])]
+        sums = self.rows().groupBy("id", "Scale").agg(*aggs)
+        t = self.theta.join(sums, ["id", "Scale"], "left")
+        t = t.na.fill(0.0, [c for c in sums.columns if c not in ("id", "Scale")])
         if self.config.use_priors:
-            t = t.join(self._prior_pull(), ["id", "Scale"])
-            g, i = F.col("g") + F.col("pull"), F.col("i") + F.col("hold")
+            t = t.join(self._prior_pull(), ["id", "Scale"]).withColumns({"g": F.col("g") + F.col("pull"), "i": F.col("i") + F.col("hold")})
         else:
-            g, i = F.col("g"), F.col("i") + 1e-6
-        change = F.greatest(F.least(g / i, F.lit(LIMIT)), F.lit(-LIMIT))
+            t = t.withColumn("i", F.col("i") + 1e-6)
+        rest = F.col("g")
+        if preds:
+            t = cut(t)
+            mean = self._joint_mean()
+            own = [F.col(f"c{n}") for n in range(len(preds))] + [-F.col("hold")] * mean
+            sums = [F.sum(-x * F.col("g") / F.col("i")).alias(f"v{n}") for n, x in enumerate(own)]
+            sums += [F.sum(-x * y / F.col("i")).alias(f"s{n}_{m}") for n, x in enumerate(own) for m, y in enumerate(own[: n + 1])]
+            sums += [F.sum(f"gb{n}").alias(f"gb{n}") for n in range(len(preds))] + [F.sum(f"hb{n}_{m}").alias(f"hb{n}_{m}") for n in range(len(preds)) for m in range(n + 1)]
+            sums += [F.sum("hold").alias("held"), F.sum("pull").alias("pulled")] * mean
+            for r in t.where("not fixed").groupBy("Scale").agg(*sums).collect():
+                k = len(preds)
+                hb, gb = np.zeros((k + mean, k + mean)), np.zeros(k + mean)
+                for n in range(k + mean):
+                    gb[n] = r[f"v{n}"] + (r[f"gb{n}"] if n < k else -r["pulled"])
+                    for m in range(n + 1):
+                        hb[n, m] = hb[m, n] = r[f"s{n}_{m}"] + (r[f"hb{n}_{m}"] if n < k else r["held"] if m == n else 0.0)
+                step = self._effects_step([(f"ability:{r['Scale']}", x) for x in preds], hb, gb)
+                rest = F.when(F.col("Scale") == r["Scale"], F.col("g") - sum((float(d) * c for d, c in zip(step, own)), F.lit(0.0))).otherwise(rest)
+        change = F.greatest(F.least(rest / F.col("i"), F.lit(LIMIT)), F.lit(-LIMIT))
         t = t.withColumn("change", change)
         rate = F.when(F.col("change") * F.col("t_step") < -TURN, F.greatest(F.col("t_rate") / 2, F.lit(LEAST))).otherwise(F.least(F.col("t_rate") * 1.5, F.lit(1.0))) if self.damped else F.col("t_rate")
         t = t.withColumn("t_rate", rate)
         self.theta = cut(t.select("id", "Scale", F.when(F.col("fixed"), F.col("ability")).otherwise(F.col("ability") + F.col("t_rate") * F.col("change")).alias("ability"), "fixed", F.col("change").alias("t_step"), "t_rate"))
 
+    def _joint_mean(self) -> bool:
+        return self.config.use_priors and "ability" in self.config.est_means
+
+    def _effects_step(self, names: list[tuple[str, str]], hb: np.ndarray, gb: np.ndarray) -> np.ndarray:
+        """The joint step of effects (and means behind them), after the parameters are eliminated; effects move by it."""
+        k, hold = len(names), 1 / self.priors.beta_sd**2 if self.config.use_priors else 0.0
+        now = np.array([self.betas.get(kind, {}).get(x, 0.0) for kind, x in names])
+        hb, gb = hb + 1e-6 * np.eye(len(gb)), gb.copy()
+        hb[range(k), range(k)] += hold
+        gb[:k] -= hold * now
+        step = np.clip(np.linalg.solve(hb, gb), -LIMIT, LIMIT)
+        for (kind, x), v, d in zip(names, now, step):
+            self.betas.setdefault(kind, {})[x] = float(v + d)
+        return step
+
+    def _item_effects(self) -> list[tuple[str, str]]:
+        return [] if self.config.item_specific_betas else [(k, x) for k in RAW for x in self.preds[k] if self.free[k]]
+
+    def _item_means(self, live: list[str]) -> list[str]:
+        """Parameters whose estimated mean takes the joint step."""
+        return [k for k in live if self.config.use_priors and NATURAL[k] in self.config.est_means and self.preds[k]] if self._item_effects() else []
+
     def step_items(self) -> None:
         if not any(self.free.values()):
             return
-        live = [k for k in RAW if self.free[k]]
+        live, names = [k for k in RAW if self.free[k]], self._item_effects()
         aggs = [F.sum(F.col("r") * F.col(f"u_{k}")).alias(f"g_{k}") for k in live]
         aggs += [F.sum(F.col("w") * F.col(f"u_{x}") * F.col(f"u_{y}")).alias(f"i_{x}{y}") for n, x in enumerate(live) for y in live[n:]]
+        for n, (k, x) in enumerate(names):
+            aggs += [F.sum(F.col("r") * F.col(f"u_{k}") * F.col(x)).alias(f"gb{n}")] + [F.sum(F.col("w") * F.col(f"u_{y}") * F.col(f"u_{k}") * F.col(x)).alias(f"c_{y}{n}") for y in live]
+            aggs += [F.sum(F.col("w") * F.col(f"u_{k}") * F.col(f"u_{j}") * F.col(x) * F.col(y)).alias(f"hb{n}_{m}") for m, (j, y) in enumerate(names[: n + 1])]
         sums = self.rows().groupBy("Item").agg(*aggs)
-        joined = self.items.join(sums, "Item", "left").na.fill(0.0, [f"g_{k}" for k in live] + [f"i_{x}{y}" for n, x in enumerate(live) for y in live[n:]])
-        move = _mover(live, self.config.use_priors, [self._sd(k) for k in live], [self._mean(k) for k in live], self.damped)
+        joined = self.items.join(sums, "Item", "left").na.fill(0.0, [c for c in sums.columns if c != "Item"])
+        system = _System(live, self.config.use_priors, [self._sd(k) for k in live], [self._mean(k) for k in live], self.damped, names, self._item_means(live))
+        step = None
+        if names:
+            joined = cut(joined)
+            size = len(names) + len(system.means)
+
+            def partial(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+                for f in frames:
+                    hb, gb = system.eliminated(f)
+                    yield pd.DataFrame([[*hb.ravel(), *gb]], columns=parts)
+
+            parts = [f"p{n}" for n in range(size * size + size)]
+            got = joined.mapInPandas(partial, ", ".join(f"{x} double" for x in parts)).agg(*[F.sum(x).alias(x) for x in parts]).first()
+            flat = np.array([got[x] for x in parts])
+            step = self._effects_step(names, flat[: size * size].reshape(size, size), flat[size * size :])
 
         def solve(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for f in frames:
-                yield move(f)[columns]
+                yield system.move(f, step)[columns]
 
         columns = self.items.columns
         self.items = cut(joined.mapInPandas(solve, self.items.schema))
-
-    def step_betas(self) -> None:
-        """Effects of covariates: one row of gradients and information for each kind of parameter."""
-        kinds = [(k, self.preds[k], f"u_{k}", F.lit(True)) for k in RAW if self.preds[k] and self.free[k] and not self.config.item_specific_betas]
         if self.config.item_specific_betas and self.config.item_preds:
             self.step_own_betas()
-        kinds += [(f"ability:{s}", self.config.person_preds, "u_t", F.col("Scale") == s) for s in self.scales if self.config.person_preds]
-        for kind, preds, u, where in kinds:
-            aggs = [F.sum(F.col("r") * F.col(u) * F.col(x)).alias(f"g{i}") for i, x in enumerate(preds)]
-            aggs += [F.sum(F.col("w") * F.col(u) * F.col(u) * F.col(x) * F.col(y)).alias(f"h{i}_{j}") for i, x in enumerate(preds) for j, y in enumerate(preds)]
-            got = self.rows().where(where).agg(*aggs).first()
-            k = len(preds)
-            b = np.array([self.betas.get(kind, {}).get(x, 0.0) for x in preds])
-            g = np.array([got[f"g{i}"] or 0.0 for i in range(k)])
-            h = np.array([[got[f"h{i}_{j}"] or 0.0 for j in range(k)] for i in range(k)]) + 1e-6 * np.eye(k)
-            if self.config.use_priors:
-                g, h = g - b / self.priors.beta_sd**2, h + np.eye(k) / self.priors.beta_sd**2
-            self.betas[kind] = dict(zip(preds, (b + np.clip(np.linalg.solve(h, g), -LIMIT, LIMIT)).tolist()))
 
     def step_own_betas(self) -> None:
         """One effect for each item and covariate: a scoring step for each by itself."""
@@ -286,7 +336,6 @@ class _Fit:
     def sweep(self) -> None:
         self.step_abilities()
         self.step_items()
-        self.step_betas()
         self.step_means()
 
     def run(self, sweeps: int, tol: float) -> bool:
@@ -303,36 +352,71 @@ class _Fit:
         return False
 
 
-def _mover(live: list[str], use: bool, sds: list[float], mus: list[float], damped: bool):
-    """The step of items that carry their sums g_x and i_xy."""
+class _System:
+    """The scoring steps of items that carry their sums g_x, i_xy, and those with covariates c_xn, gbn, hbn_m."""
 
-    def move(f: pd.DataFrame) -> pd.DataFrame:
-        k = len(live)
+    def __init__(self, live: list[str], use: bool, sds: list[float], mus: list[float], damped: bool, names: list[tuple[str, str]], means: list[str]):
+        self.live, self.use, self.sds, self.mus, self.damped, self.names, self.means = live, use, np.array(sds), np.array(mus), damped, names, means
+
+    def own(self, f: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """value, gradient, information, what is fixed, and information with effects and means, of each item."""
+        k, live = len(self.live), self.live
         value = f[live].to_numpy(float)
         g = f[[f"g_{x}" for x in live]].to_numpy(float).copy()
         h = np.zeros((len(f), k, k))
         for n, x in enumerate(live):
             for m in range(n, k):
                 h[:, n, m] = h[:, m, n] = f[f"i_{x}{live[m]}"]
-        if use:
-            g = g - (value - mus) / np.square(sds)
-            h[:, range(k), range(k)] += 1 / np.square(sds)
-        h[:, range(k), range(k)] += 1e-6
         fixed = f[[f"fixed_{x}" for x in live]].to_numpy(bool)
+        c = np.zeros((len(f), k, len(self.names) + len(self.means)))
+        for n in range(len(self.names)):
+            c[:, :, n] = f[[f"c_{x}{n}" for x in live]].to_numpy(float)
+        if self.use:
+            g = g - (value - self.mus) / np.square(self.sds)
+            h[:, range(k), range(k)] += 1 / np.square(self.sds)
+            for n, x in enumerate(self.means, len(self.names)):
+                c[:, live.index(x), n] = -1 / self.sds[live.index(x)] ** 2
+        h[:, range(k), range(k)] += 1e-6
         g[fixed] = 0
+        c[np.repeat(fixed[:, :, None], c.shape[2], 2)] = 0
         h[np.repeat(fixed[:, :, None], k, 2) | np.repeat(fixed[:, None, :], k, 1)] = 0
         h[:, range(k), range(k)] += fixed
+        return value, g, h, fixed, c
+
+    def eliminated(self, f: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        """What these items add to the system of effects and means."""
+        value, g, h, fixed, c = self.own(f)
+        size = c.shape[2]
+        solved = np.linalg.solve(h, np.concatenate((c, g[:, :, None]), axis=2))
+        hb, gb = -np.einsum("nkm,nkl->ml", c, solved[:, :, :-1]), -np.einsum("nkm,nk->m", c, solved[:, :, -1])
+        for n in range(len(self.names)):
+            gb[n] += f[f"gb{n}"].sum()
+            for m in range(n + 1):
+                x = f[f"hb{n}_{m}"].sum()
+                hb[n, m] += x
+                if m < n:
+                    hb[m, n] += x
+        for n, x in enumerate(self.means, len(self.names)):
+            at = self.live.index(x)
+            free = ~fixed[:, at]
+            hb[n, n] += free.sum() / self.sds[at] ** 2
+            gb[n] += ((value[:, at] - self.mus[at])[free]).sum() / self.sds[at] ** 2
+        return hb.reshape(size, size), gb
+
+    def move(self, f: pd.DataFrame, step_of_effects: np.ndarray | None = None) -> pd.DataFrame:
+        live = self.live
+        value, g, h, fixed, c = self.own(f)
+        if step_of_effects is not None:
+            g = g - c @ step_of_effects
         step = np.clip(np.linalg.solve(h, g[:, :, None])[:, :, 0], -LIMIT, LIMIT)
         f = f.copy()
-        if damped:
+        if self.damped:
             last, rate = f[[f"step_{x}" for x in live]].to_numpy(float), f["rate"].to_numpy(float)
             f["rate"] = np.where((step * last).sum(1) < -TURN, np.maximum(rate / 2, LEAST), np.minimum(rate * 1.5, 1.0))
         f[[f"step_{x}" for x in live]] = step
         f[live] = np.where(fixed, value, value + f[["rate"]].to_numpy(float) * step)
         return f
 
-    return move
-
 
 class _LocalFit(_Fit):
     """The same sweeps on arrays in the driver; persons, items and answers are in the order of their keys."""
@@ -399,6 +483,21 @@ class _LocalFit(_Fit):
             g, i = g + pull, i + hold
         else:
             i = i + 1e-6
+        preds, free = self.config.person_preds, ~self.t["fixed"].to_numpy(bool)
+        if preds:
+            mean, g = self._joint_mean(), g.copy()
+            for n, scale in enumerate(self.scales):
+                here, own = self.scale == n, np.flatnonzero((self.scale_t == n) & free)
+                x = np.stack([self.x[p][here] for p in preds], 1)
+                info = (m["w"] * m["u_t"] ** 2)[here]
+                c = np.stack([np.bincount(self.at_t[here], info * x[:, j], k) for j in range(len(preds))], 1)[own]
+                hb, gb = x.T @ (x * info[:, None]), x.T @ (m["r"] * m["u_t"])[here]
+                if mean:
+                    c = np.column_stack((c, -hold[own]))
+                    hb = np.pad(hb, ((0, 1), (0, 1)))
+                    hb[-1, -1], gb = hold[own].sum(), np.append(gb, -pull[own].sum())
+                hb, gb = hb - c.T @ (c / i[own][:, None]), gb - c.T @ (g[own] / i[own])
+                g[own] -= c @ self._effects_step([(f"ability:{scale}", p) for p in preds], hb, gb)
         step, last, rate = np.clip(g / i, -LIMIT, LIMIT), self.t["t_step"].to_numpy(float), self.t["t_rate"].to_numpy(float)
         if self.damped:
             rate = np.where(step * last < -TURN, np.maximum(rate / 2, LEAST), np.minimum(rate * 1.5, 1.0))
@@ -411,22 +510,15 @@ class _LocalFit(_Fit):
         m, k = self.answers(), len(self.i)
         sums = {f"g_{x}": np.bincount(self.at_i, m["r"] * m[f"u_{x}"], k) for x in live}
         sums |= {f"i_{x}{y}": np.bincount(self.at_i, m["w"] * m[f"u_{x}"] * m[f"u_{y}"], k) for n, x in enumerate(live) for y in live[n:]}
-        move = _mover(live, self.config.use_priors, [self._sd(x) for x in live], [self._mean(x) for x in live], self.damped)
-        self.i = move(self.i.assign(**sums))[self.i.columns]
-
-    def step_betas(self) -> None:
-        kinds = [(k, self.preds[k], f"u_{k}", None) for k in RAW if self.preds[k] and self.free[k]]
-        kinds += [(f"ability:{s}", self.config.person_preds, "u_t", n) for n, s in enumerate(self.scales) if self.config.person_preds]
-        for kind, preds, u, n in kinds:
-            m = self.answers()
-            here = slice(None) if n is None else self.scale == n
-            x = np.stack([self.x[p][here] for p in preds], 1)
-            b = np.array([self.betas.get(kind, {}).get(p, 0.0) for p in preds])
-            g = x.T @ (m["r"] * m[u])[here]
-            h = x.T @ (x * (m["w"] * m[u] ** 2)[here][:, None]) + 1e-6 * np.eye(len(preds))
-            if self.config.use_priors:
-                g, h = g - b / self.priors.beta_sd**2, h + np.eye(len(preds)) / self.priors.beta_sd**2
-            self.betas[kind] = dict(zip(preds, (b + np.clip(np.linalg.solve(h, g), -LIMIT, LIMIT)).tolist()))
+        names = self._item_effects()
+        for n, (j, x) in enumerate(names):
+            sums[f"gb{n}"] = np.bincount(self.at_i, m["r"] * m[f"u_{j}"] * self.x[x], k)
+            sums |= {f"c_{y}{n}": np.bincount(self.at_i, m["w"] * m[f"u_{y}"] * m[f"u_{j}"] * self.x[x], k) for y in live}
+            sums |= {f"hb{n}_{q}": np.bincount(self.at_i, m["w"] * m[f"u_{j}"] * m[f"u_{l}"] * self.x[x] * self.x[y], k) for q, (l, y) in enumerate(names[: n + 1])}
+        system = _System(live, self.config.use_priors, [self._sd(x) for x in live], [self._mean(x) for x in live], self.damped, names, self._item_means(live))
+        f = self.i.assign(**sums)
+        step = self._effects_step(names, *system.eliminated(f)) if names else None
+        self.i = system.move(f, step)[self.i.columns]
 
     def step_means(self) -> None:
         centre = 0.0
