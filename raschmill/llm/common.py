@@ -45,6 +45,23 @@ def written(df: DataFrame, keep: list[str] | None = None) -> DataFrame:
     return out.select(*keep) if keep else out
 
 
+class Scratch:
+    """Intermediate tables of one call in the shared folder, deleted together once the result is written."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.root, self.n = spark, shared_folder(spark), 0
+
+    def written(self, df: DataFrame) -> DataFrame:
+        path = f"{self.root}/{self.n}"
+        self.n += 1
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def delete(self) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 # ---------------------------------------------------------------- bytes of a text column
 
 

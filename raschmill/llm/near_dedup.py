@@ -24,8 +24,9 @@ alone, which only marks the texts that agree with another class in MAYBE of them
 texts are verified, one text against all of its block in one vectorised step. A block
 keeps its own union of classes, skips what is joined already and returns at most one link for each
 text, so no table of candidate pairs is made, and none is left out. (Pairs that agree in fewer than MAYBE of the
-samples are over four standard deviations from the threshold.) Joins on buckets are
-plain equi-joins, which adaptive execution splits where a bucket is large.
+samples are over four standard deviations from the threshold.) Joins on buckets and classes are
+plain equi-joins of written tables, which adaptive execution splits where a bucket or class is large (it would not
+where one side comes straight from an aggregation by the same key). Intermediate tables are deleted at the end.
 
 Defined results: a null id takes no part and has a null class; a text without words is its own
 class; rows are told apart by id and text, so an id with two texts may lie in two classes; an empty table gives an empty
@@ -42,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, byte_view, mix, sliced, written
+from .common import Scratch, Words, byte_view, mix, sliced, written
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -184,7 +185,7 @@ def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.n
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, idf: Idf) -> DataFrame:
-    """rep, lead, similarity of pairs (rep, lead), written to the shared folder."""
+    """rep, lead, similarity of pairs (rep, lead)."""
     shared = pairs.sparkSession.sparkContext.broadcast(idf)
     left = texts.select("rep", F.col("text").alias("x"))
     right = texts.select(F.col("rep").alias("lead"), F.col("text").alias("y"))
@@ -200,22 +201,22 @@ def _verified(pairs: DataFrame, texts: DataFrame, idf: Idf) -> DataFrame:
             yield pa.RecordBatch.from_arrays([t.column("rep"), t.column("lead"), pa.array(found, pa.float64())], ["rep", "lead", "similarity"])
 
     joined = pairs.join(left, "rep").join(right, "lead").select("rep", "lead", "x", "y")
-    return written(joined.mapInArrow(run, "rep binary, lead binary, similarity double"))
+    return joined.mapInArrow(run, "rep binary, lead binary, similarity double")
 
 
-def connected(edges: DataFrame) -> DataFrame:
+def connected(edges: DataFrame, tables: Scratch) -> DataFrame:
     """id, label for every end of an edge (a, b): the least id of its component.
 
     Labels and edges stay distributed; each round passes least labels to neighbours and jumps to the
     label of the label, and is written to the shared folder.
     """
-    both = written(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v"))).distinct())
-    labels = written(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("id"), F.least("u", "m").alias("label")))
+    both = tables.written(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v"))).distinct())
+    labels = tables.written(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("id"), F.least("u", "m").alias("label")))
     while True:
         near = both.join(labels.select(F.col("id").alias("v"), F.col("label").alias("l")), "v").groupBy("u").agg(F.min("l").alias("l"))
         step = labels.join(near.withColumnRenamed("u", "id"), "id", "left").select("id", F.col("label").alias("old"), F.least("label", "l").alias("label"))
         up = labels.select(F.col("id").alias("label"), F.col("label").alias("higher"))
-        new = written(step.join(up, "label", "left").select("id", "old", F.least("label", "higher").alias("label")))
+        new = tables.written(step.join(up, "label", "left").select("id", "old", F.least("label", "higher").alias("label")))
         if new.where("label < old").limit(1).count() == 0:
             return new.select("id", "label")
         labels = new.select("id", "label")
@@ -225,10 +226,10 @@ def _samples(col: pa.Array) -> np.ndarray:
     return np.stack([np.frombuffer(x, np.uint32) for x in col.to_pylist()]) if len(col) else np.zeros((0, BANDS * ROWS), np.uint32)
 
 
-def _in_blocks(rows: DataFrame) -> DataFrame:
+def _in_blocks(rows: DataFrame, tables: Scratch) -> DataFrame:
     """Rows of buckets (band, key, rep, size, ...) dealt to pairs (i, j) of their bucket's blocks; ``own`` is a row's block."""
     n = rows.groupBy("band", "key").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("size") / BLOCK_BYTES)).cast("int").alias("n"))
-    d = rows.join(n, ["band", "key"]).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("n")).cast("int"))
+    d = rows.join(tables.written(n), ["band", "key"]).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("n")).cast("int"))
     d = d.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     return d.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("n", "other", "size")
 
@@ -250,7 +251,7 @@ def _open_pairs(t: pa.Table) -> Iterator[tuple[int, np.ndarray]]:
                 yield x, later
 
 
-def _marked(rows: DataFrame) -> DataFrame:
+def _marked(rows: DataFrame, tables: Scratch) -> DataFrame:
     """band, key, rep of the rows (band, key, rep, label, samples, size) that may be similar to one of another label."""
 
     def run(t: pa.Table) -> pa.Table:
@@ -260,11 +261,11 @@ def _marked(rows: DataFrame) -> DataFrame:
             mark[later] = True
         return t.select(["band", "key", "rep"]).filter(pa.array(mark))
 
-    found = _in_blocks(rows).groupBy("band", "key", "i", "j").applyInArrow(run, "band int, key long, rep binary")
+    found = _in_blocks(rows, tables).groupBy("band", "key", "i", "j").applyInArrow(run, "band int, key long, rep binary")
     return found.distinct()
 
 
-def _links(rows: DataFrame, idf: Idf, threshold: float) -> DataFrame:
+def _links(rows: DataFrame, idf: Idf, threshold: float, tables: Scratch) -> DataFrame:
     """a, b: links that join the labels of the rows (band, key, rep, label, samples, text, size) within their blocks."""
     shared = rows.sparkSession.sparkContext.broadcast(idf)
 
@@ -302,50 +303,53 @@ def _links(rows: DataFrame, idf: Idf, threshold: float) -> DataFrame:
         rep = t.column("rep")
         return pa.table({"a": rep.take(pa.array(at, pa.int64())), "b": rep.take(pa.array(to, pa.int64()))})
 
-    return _in_blocks(rows).groupBy("band", "key", "i", "j").applyInArrow(run, "a binary, b binary")
+    return _in_blocks(rows, tables).groupBy("band", "key", "i", "j").applyInArrow(run, "a binary, b binary")
 
 
 def _classes(docs: DataFrame, doc_id: str, text: str, threshold: float) -> DataFrame:
     """id, h (hash of the text), n_words, label (the same for all rows of a class) of every row, written."""
+    tables = Scratch(docs.sparkSession)
     d = docs.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
     kind = d.schema["id"].dataType.simpleString()
     idf = word_idf(d)
-    signed = written(_signed(d, idf, kind))
+    signed = tables.written(_signed(d, idf, kind))
     known = signed.where("id is not null and n_words > 0")
-    reps = written(known.groupBy("rep").agg(F.min(F.struct("id", "h", "bands", "samples")).alias("f")).select("rep", "f.*"))
+    reps = tables.written(known.groupBy("rep").agg(F.min(F.struct("id", "h", "bands", "samples")).alias("f")).select("rep", "f.*"))
     members = reps.select("rep", F.posexplode("bands").alias("band", "key"))
-    crowded = members.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = written(members.join(crowded, ["band", "key"]))
-    central = written(shared.groupBy("rep").agg(F.sum("n").alias("central")))
-    texts = written(d.join(central.join(reps, "rep").select("rep", "id", "h", "samples"), ["id", "h"]).dropDuplicates(["rep"]).select("rep", "samples", "text", F.octet_length("text").alias("size")))
+    crowded = tables.written(members.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    shared = tables.written(members.join(crowded, ["band", "key"]))
+    central = tables.written(shared.groupBy("rep").agg(F.sum("n").alias("central")))
+    texts = tables.written(d.join(central.join(reps, "rep").select("rep", "id", "h", "samples"), ["id", "h"]).dropDuplicates(["rep"]).select("rep", "samples", "text", F.octet_length("text").alias("size")))
 
     active = shared.join(central, "rep").select("rep", "band", "key", "central")
     edges: list[DataFrame] = []
     for _ in range(ROUNDS):
         leads = active.groupBy("band", "key").agg(F.min(F.struct((-F.col("central")).alias("less"), F.col("rep").alias("lead"))).alias("best"), F.count(F.lit(1)).alias("n")).where("n > 1")
-        own = active.select("rep", "band", "key").join(leads.select("band", "key", "best"), ["band", "key"]).where("rep <> best.lead")
+        own = active.select("rep", "band", "key").join(tables.written(leads.select("band", "key", "best")), ["band", "key"]).where("rep <> best.lead")
         one = own.groupBy("rep").agg(F.min("best").alias("best")).select("rep", "best.lead")
-        checked = _verified(one, texts, idf)
+        checked = tables.written(_verified(one, texts, idf))
         edges.append(checked.where(F.col("similarity") >= threshold).select(F.col("rep").alias("a"), F.col("lead").alias("b")))
         done = edges[-1].select(F.col("a").alias("rep")).unionByName(checked.select(F.col("lead").alias("rep"))).distinct()
-        active = written(active.join(done, "rep", "left_anti"))
+        active = tables.written(active.join(done, "rep", "left_anti"))
 
-    label = connected(_union(edges))
-    names = written(central.join(label.withColumnRenamed("id", "rep"), "rep", "left").select("rep", F.coalesce("label", "rep").alias("label")))
-    rows = shared.select("band", "key", "rep").join(names, "rep")
+    label = connected(_union(edges), tables)
+    names = tables.written(central.join(label.withColumnRenamed("id", "rep"), "rep", "left").select("rep", F.coalesce("label", "rep").alias("label")))
+    rows = tables.written(shared.select("band", "key", "rep").join(names, "rep"))
     several = rows.groupBy("band", "key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("band", "key")
-    left = written(rows.join(several, ["band", "key"]).select("band", "key", "rep", "label"))
-    marked = _marked(left.join(texts.select("rep", "samples"), "rep").withColumn("size", F.lit(0)))
-    late = written(_links(written(left.join(marked, ["band", "key", "rep"])).join(texts, "rep"), idf, threshold))
+    left = tables.written(rows.join(tables.written(several), ["band", "key"]).select("band", "key", "rep", "label"))
+    marked = tables.written(_marked(tables.written(left.join(texts.select("rep", "samples"), "rep").withColumn("size", F.lit(0))), tables))
+    late = tables.written(_links(tables.written(left.join(marked, ["band", "key", "rep"]).join(texts, "rep")), idf, threshold, tables))
     if late.limit(1).count():
-        label = connected(_union([*edges, late]))
-    return written(signed.join(label.withColumnRenamed("id", "rep"), "rep", "left").select("id", "h", "n_words", F.when(F.col("id").isNotNull() & (F.col("n_words") > 0), F.coalesce("label", "rep")).alias("label")))
+        label = connected(_union([*edges, late]), tables)
+    out = written(signed.join(label.withColumnRenamed("id", "rep"), "rep", "left").select("id", "h", "n_words", F.when(F.col("id").isNotNull() & (F.col("n_words") > 0), F.coalesce("label", "rep")).alias("label")))
+    tables.delete()
+    return out
 
 
 def near_duplicate_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """id, class_id (the least id of the class), n_words for every document."""
     rows = _classes(docs, doc_id, text, threshold)
-    least = rows.where("label is not null").groupBy("label").agg(F.min("id").alias("class_id"))
+    least = written(rows.where("label is not null").groupBy("label").agg(F.min("id").alias("class_id")))
     return rows.join(least, "label", "left").select("id", F.coalesce("class_id", "id").alias("class_id"), "n_words")
 
 
@@ -359,7 +363,7 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """One document of each class (the one with the least id) with all its columns; rows without an id stay, rows with the same id and text are one."""
     rows = _classes(docs, doc_id, text, threshold).where("id is not null")
-    first = rows.where("label is not null").groupBy("label").agg(F.min(F.struct("id", "h")).alias("first"))
+    first = written(rows.where("label is not null").groupBy("label").agg(F.min(F.struct("id", "h")).alias("first")))
     gone = rows.join(first, "label").where("id <> first.id or h <> first.h").select(F.col("id").alias("__id"), F.col("h").alias("__h")).distinct()
     h = F.xxhash64(F.col(text).cast("string"))
     kept = docs.join(gone, (docs[doc_id] == F.col("__id")) & (h == F.col("__h")), "left_anti")
