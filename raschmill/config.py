@@ -18,10 +18,14 @@ class ResponseSchema:
     item: str = "Item"
     scale: str = "Scale"
 
-    def standard(self, df: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
-        """Only the named columns, as id, Item, Scale, score, and the extra ones; without a scale column there is one scale, '1'."""
+    def standard(self, df: DataFrame, extra: tuple[str, ...] = (), cast: bool = True) -> DataFrame:
+        """Only the named columns, as id, Item, Scale, score, and the extra ones; without a scale column there is one scale, '1'.
+
+        ``cast`` makes scores integers; a check of what they are comes before it.
+        """
+        score = F.col(self.score).cast("int") if cast else F.col(self.score)
         scale = F.col(self.scale) if self.scale in df.columns else F.lit("1")
-        return df.select(F.col(self.id).alias("id"), F.col(self.item).alias("Item"), scale.alias("Scale"), F.col(self.score).cast("int").alias("score"), *[F.col(c) for c in extra])
+        return df.select(F.col(self.id).alias("id"), F.col(self.item).alias("Item"), scale.alias("Scale"), score.alias("score"), *[F.col(c) for c in extra])
 
 
 @dataclass(frozen=True)
@@ -72,6 +76,10 @@ class IrtConfig:
     perfect_tol: float = 0.001
     #: Name of a boolean column; rows where it is false are predicted but do not enter the fit.
     training: str | None = None
+    #: Nodes over which the likelihood of an answer is integrated along its person's ability; 0: at the ability alone.
+    integrate_points: int = 0
+    #: Deviation of that integral; None: from the curvature of the likelihood at the abilities, anew in each sweep. 0 for fixed abilities.
+    integrate_sd: float | None = None
     max_sweeps: int = 100
     #: Absolute change of the objective at which a stage ends; None: 1e-8 for each row.
     tol: float | None = None

@@ -25,16 +25,16 @@ from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from raschmill.config import IrtConfig, Priors, ResponseSchema
-from raschmill.functions.links import inv_logit, lower_asymptote, softplus, softplus_inverse, upper_asymptote
+from raschmill.functions.links import inv_logit, lower_asymptote, softplus, upper_asymptote
 from raschmill.functions.model import TINY, Terms
-from raschmill.operators.moments import ability_correlations, empirical_moments, priors_from_fixed
+from raschmill.operators.moments import ability_correlations, ability_priors_from_fixed, empirical_moments, priors_from_fixed
 from raschmill.operators.normalise import normalise
 from raschmill.operators.prep import ability_setup, drop_perfect_scores, item_setup, require_complete, restrict
-from raschmill.operators.scoring import probabilities, with_parameters
+from raschmill.operators.scoring import gauss_hermite, probabilities, with_parameters
 from raschmill.storage import cut
 
 RAW = ("a", "b", "c", "d")
@@ -62,6 +62,8 @@ class IrtModel:
     raw_items: DataFrame
     responses: DataFrame
     history: list[float] = field(default_factory=list)
+    #: parameter, Scale (of abilities), Item (of its own effects), covariate, beta, linearised (on the natural parameter), standardised.
+    covariate_effects: DataFrame | None = None
 
     def predict(self, responses: DataFrame | None = None) -> DataFrame:
         """p, p_observed and loglik of answers under the final parameters."""
@@ -104,7 +106,10 @@ class _Fit:
         self.means: dict[str, float] = {}
         self.history: list[float] = []
         self.damped = True
-        self.theta = theta.withColumns({"t_step": F.lit(0.0), "t_rate": F.lit(1.0)})
+        self.nodes = list(zip(*gauss_hermite(config.integrate_points))) if config.integrate_points else [(0.0, 1.0)]
+        sd = F.when(F.col("fixed"), 0.0).otherwise(float(config.integrate_sd or 0.0))
+        self.theta = theta.withColumns({"t_step": F.lit(0.0), "t_rate": F.lit(1.0), "sd": sd})
+        self.partly = bool(config.priors.ability_corr or len(scales) > 1) and theta.where("fixed").limit(1).count() > 0
         self.items = items = items.withColumns({**{f"step_{k}": F.lit(0.0) for k in RAW}, "rate": F.lit(1.0)})
 
         if config.item_specific_betas:
@@ -133,17 +138,22 @@ class _Fit:
         r = r.select("*", *[v.alias(f"raw_{k}") for k, v in raw.items()], F.when(F.col("fixed_t"), F.col("ability")).otherwise(F.col("ability") + shift).alias("th"))
         nat = _natural({k: F.col(f"raw_{k}") for k in RAW})
         r = r.select("*", *[v.alias(f"n{NATURAL[k]}") for k, v in nat.items()])
-        t = Terms(*[F.col(c) for c in ("th", "nA", "nB", "nC", "nD")])
-        r = r.withColumn("sg", t.s).withColumn("P", F.greatest(F.least(F.col("nC") + (F.col("nD") - F.col("nC")) * F.col("sg"), F.lit(1 - 1e-12)), F.lit(1e-12)))
-        bell = (F.col("nD") - F.col("nC")) * F.col("sg") * (1 - F.col("sg"))
         half = lambda k: 0.5 * inv_logit(F.col(f"raw_{k}")) * (1 - inv_logit(F.col(f"raw_{k}")))
-        u = {
-            "t": bell * F.col("nA"),
-            "a": bell * (F.col("th") - F.col("nB")) * inv_logit(F.col("raw_a")),
-            "b": -bell * F.col("nA"),
-            "c": (1 - F.col("sg")) * half("c"),
-            "d": F.col("sg") * half("d"),
-        }
+        u = {k: F.lit(0.0) for k in ("P", "t", *RAW)}
+        for x, weight in self.nodes:  # one, at the ability, unless the likelihood is integrated
+            th = F.col("th") + x * F.col("sd") if x else F.col("th")
+            sg = Terms(th, *[F.col(c) for c in ("nA", "nB", "nC", "nD")]).s
+            bell = (F.col("nD") - F.col("nC")) * sg * (1 - sg)
+            own = {
+                "P": F.col("nC") + (F.col("nD") - F.col("nC")) * sg,
+                "t": bell * F.col("nA"),
+                "a": bell * (th - F.col("nB")) * inv_logit(F.col("raw_a")),
+                "b": -bell * F.col("nA"),
+                "c": (1 - sg) * half("c"),
+                "d": sg * half("d"),
+            }
+            u = {k: v + weight * own[k] for k, v in u.items()}
+        r = r.withColumn("P", F.greatest(F.least(u.pop("P"), F.lit(1 - 1e-12)), F.lit(1e-12)))
         r = r.select("*", *[F.when(F.col(f"fixed_{k}"), 0.0).otherwise(v).alias(f"u_{k}") for k, v in u.items()])
         pq = F.col("P") * (1 - F.col("P"))
         return r.withColumn("r", (F.col("s") - F.col("n") * F.col("P")) / pq).withColumn("w", F.col("n") / pq)
@@ -165,13 +175,20 @@ class _Fit:
             out = F.when(F.col("Scale") == s, F.lit(float(v))).otherwise(out)
         return out
 
-    def _precision(self) -> np.ndarray:
-        """Of abilities over the scales."""
+    def _covariance(self) -> np.ndarray:
+        """Of abilities over the scales, as the prior has it."""
         p, k = self.priors, len(self.scales)
         corr = np.array([[1.0 if i == j else p.ability_corr.get((str(self.scales[i]), str(self.scales[j])), 0.0) for j in range(k)] for i in range(k)])
         sd = np.array([p.ability_sd.get(str(s), p.default_sd) for s in self.scales])
-        cov = corr * np.outer(sd, sd) + (1e-6 * np.eye(k) if k > 1 else 0)
-        return np.linalg.inv(cov)
+        return corr * np.outer(sd, sd) + (1e-6 * np.eye(k) if k > 1 else 0)
+
+    def _precision(self, free: list[bool]) -> np.ndarray:
+        """Of the free abilities of a person, in their own margin of the prior; 0 in the rows of fixed ones."""
+        at = np.flatnonzero(free)
+        out = np.zeros((len(free), len(free)))
+        if len(at):
+            out[np.ix_(at, at)] = np.linalg.inv(self._covariance()[np.ix_(at, at)])
+        return out
 
     def _prior_pull(self) -> DataFrame:
         """id, Scale, pull (gradient of the ability prior), hold (its information)."""
@@ -179,12 +196,24 @@ class _Fit:
         if not self.priors.ability_corr:
             sd = self._by_scale("sd")
             return dev.select("id", "Scale", (-F.col("dev") / (sd * sd)).alias("pull"), (1 / (sd * sd)).alias("hold"))
-        q = self._precision()
-        pairs = [(s, o, float(q[i, j])) for i, s in enumerate(self.scales) for j, o in enumerate(self.scales)]
+        bit = F.lit(0)
+        for n, s in enumerate(self.scales):
+            bit = F.when(F.col("Scale") == s, 1 << n).otherwise(bit)
+        dev = self.theta.select("id", "Scale", (F.col("ability") - self._by_scale("mean")).alias("dev"), "fixed")
+        masks = [(1 << len(self.scales)) - 1]
+        dev = dev.withColumn("mask", F.lit(masks[0]))
+        if self.partly:  # which scales of a person are free; few rows each
+            dev = dev.withColumn("mask", F.sum(F.when(~F.col("fixed"), bit).otherwise(0)).over(Window.partitionBy("id")).cast("int"))
+            masks = [r[0] for r in dev.select("mask").distinct().collect()]
+        pairs = []
+        for mask in masks:
+            q = self._precision([bool(mask >> n & 1) for n in range(len(self.scales))])
+            pairs += [(mask, s, o, float(q[i, j])) for i, s in enumerate(self.scales) for j, o in enumerate(self.scales)]
         kind = self.theta.schema["Scale"].dataType.simpleString()
-        side = F.broadcast(self.theta.sparkSession.createDataFrame(pairs, f"Scale {kind}, other {kind}, q double"))  # scales squared
-        rows = dev.withColumnRenamed("Scale", "other").join(side, "other")
-        return rows.groupBy("id", "Scale").agg((-F.sum(F.col("q") * F.col("dev"))).alias("pull"), F.sum(F.when(F.col("Scale") == F.col("other"), F.col("q"))).alias("hold"))
+        side = F.broadcast(self.theta.sparkSession.createDataFrame(pairs, f"mask int, Scale {kind}, other {kind}, q double"))  # scales squared for each pattern that occurs
+        rows = dev.withColumnRenamed("Scale", "other").join(side, ["mask", "other"])
+        hold = F.sum(F.when(F.col("Scale") == F.col("other"), F.col("q")))
+        return rows.groupBy("id", "Scale").agg((-F.sum(F.col("q") * F.col("dev"))).alias("pull"), F.when(hold > 0, hold).otherwise(1.0).alias("hold"))
 
     # ---- steps
 
@@ -224,7 +253,16 @@ class _Fit:
         t = t.withColumn("change", change)
         rate = F.when(F.col("change") * F.col("t_step") < -TURN, F.greatest(F.col("t_rate") / 2, F.lit(LEAST))).otherwise(F.least(F.col("t_rate") * 1.5, F.lit(1.0))) if self.damped else F.col("t_rate")
         t = t.withColumn("t_rate", rate)
-        self.theta = cut(t.select("id", "Scale", F.when(F.col("fixed"), F.col("ability")).otherwise(F.col("ability") + F.col("t_rate") * F.col("change")).alias("ability"), "fixed", F.col("change").alias("t_step"), "t_rate"))
+        self.theta = cut(t.select("id", "Scale", F.when(F.col("fixed"), F.col("ability")).otherwise(F.col("ability") + F.col("t_rate") * F.col("change")).alias("ability"), "fixed", F.col("change").alias("t_step"), "t_rate", "sd"))
+
+    def step_sds(self) -> None:
+        """Deviations for the integral: from the curvature of the likelihood at the abilities, no more than the prior's."""
+        t = Terms(*[F.col(c) for c in ("th", "nA", "nB", "nC", "nD")])
+        curve = F.col("s") * t.loglik_curvature(F.lit(1)) + (F.col("n") - F.col("s")) * t.loglik_curvature(F.lit(0))
+        k = self.rows().groupBy("id", "Scale").agg(F.sum(curve).alias("k"))
+        sd = F.least(F.sqrt(1 / F.abs(F.when(F.col("k") != 0, F.col("k")))), self._by_scale("sd"))
+        t = self.theta.drop("sd").join(k, ["id", "Scale"], "left").withColumn("sd", F.when(F.col("fixed"), 0.0).otherwise(F.coalesce(sd, F.lit(0.0))))
+        self.theta = cut(t.select(*self.theta.columns))
 
     def _joint_mean(self) -> bool:
         return self.config.use_priors and "ability" in self.config.est_means
@@ -334,6 +372,8 @@ class _Fit:
         """items and theta are tables that stand as they are."""
 
     def sweep(self) -> None:
+        if self.config.integrate_points and self.config.integrate_sd is None:
+            self.step_sds()
         self.step_abilities()
         self.step_items()
         self.step_means()
@@ -456,13 +496,31 @@ class _LocalFit(_Fit):
         B = np.where(fixed["b"], own["b"], raw["b"])
         C = np.where(fixed["c"], own["c"], 0.5 * sig["c"])
         D = np.where(fixed["d"], own["d"], 0.5 + 0.5 * sig["d"])
-        sg = _sigmoid(A * (th - B))
-        P = np.clip(C + (D - C) * sg, 1e-12, 1 - 1e-12)
-        bell, half = (D - C) * sg * (1 - sg), {k: 0.5 * sig[k] * (1 - sig[k]) for k in "cd"}
-        out = {"u_a": bell * (th - B) * sig["a"], "u_b": -bell * A, "u_c": (1 - sg) * half["c"], "u_d": sg * half["d"]}
-        out = {u: np.where(fixed[u[-1]], 0.0, v) for u, v in out.items()}
+        half = {k: 0.5 * sig[k] * (1 - sig[k]) for k in "cd"}
+        sd = self.t["sd"].to_numpy(float)[self.at_t]
+        out = dict.fromkeys(("u_a", "u_b", "u_c", "u_d", "u_t", "P"), 0.0)
+        for x, weight in self.nodes:
+            t = th + x * sd
+            sg = _sigmoid(A * (t - B))
+            bell = (D - C) * sg * (1 - sg)
+            own = {"u_a": bell * (t - B) * sig["a"], "u_b": -bell * A, "u_c": (1 - sg) * half["c"], "u_d": sg * half["d"], "u_t": bell * A, "P": C + (D - C) * sg}
+            out = {k: v + weight * own[k] for k, v in out.items()}
+        P = np.clip(out.pop("P"), 1e-12, 1 - 1e-12)
+        out = {u: np.where(still if u == "u_t" else fixed[u[-1]], 0.0, v) for u, v in out.items()}
         pq = P * (1 - P)
-        return out | {"u_t": np.where(still, 0.0, bell * A), "P": P, "r": (self.s - self.n * P) / pq, "w": self.n / pq}
+        return out | {"P": P, "r": (self.s - self.n * P) / pq, "w": self.n / pq, "natural": (th, A, B, C, D)}
+
+    def step_sds(self) -> None:
+        th, A, B, C, D = self.answers()["natural"]
+        sg = _sigmoid(A * (th - B))
+        p = np.clip(C + (D - C) * sg, 1e-300, 1.0)
+        q = np.maximum(1 - p, 1e-300)
+        first, second = A * (D - C) * sg * (1 - sg), A * A * (D - C) * sg * (1 - sg) * (1 - 2 * sg)
+        curve = self.s * (second / p - (first / p) ** 2) + (self.n - self.s) * (-second / q - (first / q) ** 2)
+        k = np.bincount(self.at_t, curve, len(self.t))
+        most = np.array([self.priors.ability_sd.get(str(s), self.priors.default_sd) for s in self.scales], float)[self.scale_t]
+        sd = np.where(k != 0, np.minimum(np.sqrt(1 / np.abs(np.where(k != 0, k, 1.0))), most), 0.0)
+        self.t = self.t.assign(sd=np.where(self.t["fixed"].to_numpy(bool), 0.0, sd))
 
     def deviation(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of the abilities from their means, with pull and hold of the prior."""
@@ -472,8 +530,13 @@ class _LocalFit(_Fit):
         if not p.ability_corr:
             sd = np.array([p.ability_sd.get(str(s), p.default_sd) for s in self.scales], float)[self.scale_t]
             return dev, -dev / sd**2, 1 / sd**2
-        q, k = self._precision(), len(self.scales)  # every person has a row for each scale
-        return dev, -(dev.reshape(-1, k) @ q).ravel(), np.diag(q)[self.scale_t]
+        k = len(self.scales)  # every person has a row for each scale
+        free = ~self.t["fixed"].to_numpy(bool).reshape(-1, k)
+        by, pull, hold = dev.reshape(-1, k), np.zeros((len(dev) // k, k)), np.ones((len(dev) // k, k))
+        for own in np.unique(free, axis=0):
+            here, q = (free == own).all(axis=1), self._precision(own.tolist())
+            pull[here], hold[here] = -(by[here] @ q), np.where(np.diag(q) > 0, np.diag(q), 1.0)
+        return dev, pull.ravel(), hold.ravel()
 
     def step_abilities(self) -> None:
         m, k = self.answers(), len(self.t)
@@ -563,8 +626,9 @@ def fit_irt(responses: DataFrame, names: ResponseSchema | None = None, config: I
     """
     config, names = config or IrtConfig(), names or ResponseSchema()
     extra = (*config.preds, *((config.training,) if config.training else ()))
-    data = names.standard(responses, extra)
+    data = names.standard(responses, extra, cast=False)
     require_complete(data)
+    data = data.withColumn("score", F.col("score").cast("int"))
     if config.drop_perfect_scores:
         data = drop_perfect_scores(data, tol=config.perfect_tol)
     data = cut(data)
@@ -590,6 +654,10 @@ def fit_irt(responses: DataFrame, names: ResponseSchema | None = None, config: I
     if config.priors_from_fixed and fixed_items is not None:
         m = priors_from_fixed(fixed_items, config.ebayes_multiplier).first().asDict()
         own = replace(own, **{k: v for k, v in m.items() if v is not None and math.isfinite(v)})
+    if config.priors_from_fixed and fixed_persons is not None:
+        long = theta.where("fixed").select("id", "Scale", "ability")
+        mean, sd, corr = ability_priors_from_fixed(long, config.ebayes_multiplier)
+        own = replace(own, ability_mean={**own.ability_mean, **mean}, ability_sd={**own.ability_sd, **sd}, ability_corr=corr)
     items, theta = cut(items), cut(theta)
     local = not config.item_specific_betas and cells.count() <= LOCAL and theta.count() <= LOCAL
     f = (_LocalFit if local else _Fit)(cells, items, theta, scales, config)
@@ -657,11 +725,44 @@ def _finish(f: _Fit, data: DataFrame, used: DataFrame, converged: bool) -> IrtMo
     natural = natural.join(scale_of, "Item")
     if config.normalise:
         natural, persons = normalise(natural, persons, "Ability", config.normalise_scale, config.normalise_mean, by_scale=True)
-    return IrtModel(cut(natural), cut(persons), f.betas, f.history[-1], len(f.history), converged, f.items, data, f.history)
-
-
-def softplus_inverse_value(a: float) -> float:
-    return a + math.log(-math.expm1(-a))
-
-
-__all__ = ["IrtModel", "fit_irt", "linearised", "softplus_inverse", "softplus_inverse_value"]
+    natural, persons = cut(natural), cut(persons)
+    return IrtModel(natural, persons, f.betas, f.history[-1], len(f.history), converged, f.items, data, f.history, _effects_table(f, data, natural, persons))
+
+
+def _effects_table(f: _Fit, data: DataFrame, natural: DataFrame, persons: DataFrame) -> DataFrame | None:
+    """Effects as they are, on the natural parameter, and in deviations of covariate (over all answers) and parameter."""
+    config, spark = f.config, data.sparkSession
+    if not config.preds:
+        return None
+    sd_x = data.agg(*[F.stddev_samp(x).alias(x) for x in config.preds]).first()
+    sd_par = natural.agg(*[F.stddev_samp(NATURAL[k]).alias(k) for k in RAW]).first()
+    sd_ability = {r["Scale"]: r["s"] for r in persons.groupBy("Scale").agg(F.stddev_samp("ability").alias("s")).collect()}
+    means = f.items.agg(*[F.avg(F.when(~F.col(f"fixed_{k}"), F.col(k))).alias(k) for k in RAW]).first()
+    links = {"a": lambda x: float(np.logaddexp(0, x)), "b": lambda x: x, "c": lambda x: 0.5 * float(_sigmoid(np.float64(x))), "d": lambda x: 0.5 + 0.5 * float(_sigmoid(np.float64(x)))}
+    kinds = {c: data.schema[c].dataType.simpleString() for c in ("Scale", "Item")}
+    schema = f"parameter string, Scale {kinds['Scale']}, Item {kinds['Item']}, covariate string, beta double, linearised double, standardised double"
+    ratio = lambda x, sd: float(sd_x[x]) / sd if sd and sd_x[x] is not None else None
+    rows, own = [], []
+    for s in f.scales:
+        for x in config.person_preds:
+            b, r = f.betas.get(f"ability:{s}", {}).get(x, 0.0), ratio(x, sd_ability.get(s))
+            rows.append(("ability", s, None, x, b, b, None if r is None else b * r))
+    for k in RAW:
+        for x in f.preds[k]:
+            if f.free[k] and means[k] is not None:
+                slope, r = linearised(links[k], means[k], 1.0), ratio(x, sd_par[k])
+                if config.item_specific_betas:
+                    b = F.col(_own(k, x))
+                    std = F.lit(None).cast("double") if r is None else b * r
+                    lit = lambda v, t: F.lit(v).cast(t)
+                    own.append(f.items.where(~F.col(f"fixed_{k}")).select(lit(NATURAL[k], "string").alias("parameter"), lit(None, kinds["Scale"]).alias("Scale"), "Item", lit(x, "string").alias("covariate"), b.alias("beta"), (b * slope).alias("linearised"), std.alias("standardised")))
+                else:
+                    b = f.betas.get(k, {}).get(x, 0.0)
+                    rows.append((NATURAL[k], None, None, x, b, b * slope, None if r is None else b * r))
+    out = spark.createDataFrame(rows, schema)
+    for o in own:
+        out = out.unionByName(o)
+    return out
+
+
+__all__ = ["IrtModel", "fit_irt", "linearised"]

@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from raschmill.storage import cut
 
@@ -16,12 +17,16 @@ def null_audit(df: DataFrame) -> DataFrame:
 
 
 def require_complete(df: DataFrame) -> None:
-    """Raise if any value is null, in one pass, or if the score is no number."""
-    if df.schema["score"].dataType.typeName() in ("string", "boolean"):
+    """Raise if any value is null, if the score is no number, or if one is neither 0 nor 1; one pass."""
+    if not isinstance(df.schema["score"].dataType, NumericType):
         raise TypeError("score must be numeric")
-    bad = {c: n for c, n in null_audit(df).first().asDict().items() if n}
+    odd = F.count_if(~F.col("score").isin(0, 1))
+    found = df.agg(odd, *[F.count_if(F.col(c).isNull()) for c in df.columns]).first()
+    bad = {c: n for c, n in zip(df.columns, found[1:]) if n}
     if bad:
         raise ValueError(f"missing values: {bad}")
+    if found[0]:
+        raise ValueError(f"{found[0]} scores are neither 0 nor 1")
 
 
 def means(df: DataFrame, key: str) -> DataFrame:
@@ -90,7 +95,8 @@ def free_slots(setup: DataFrame, key: str, is_free: Column) -> DataFrame:
 def item_setup(items: DataFrame, pl: int, fixed: DataFrame | None = None) -> DataFrame:
     """Item, A, B, C, D with null for what is to be estimated.
 
-    ``fixed`` overlays values; a parameter that the model does not estimate keeps 1, 0 or 1.
+    ``fixed`` overlays values, but ``pl`` decides: below 2 every A is 1, below 3 every C is 0. A fixed D holds for
+    any ``pl``, without one it is 1 below 4.
     """
     base = {"A": None if pl > 1 else 1.0, "B": None, "C": None if pl > 2 else 0.0, "D": None if pl > 3 else 1.0}
     if fixed is None:
@@ -98,6 +104,7 @@ def item_setup(items: DataFrame, pl: int, fixed: DataFrame | None = None) -> Dat
     have = [c for c in base if c in fixed.columns]
     f = fixed.select("Item", *[F.col(c).cast("double").alias(f"f_{c}") for c in have])
     joined = items.select("Item").join(f, "Item", "left")
+    have = [c for c in have if not (c == "A" and pl < 2 or c == "C" and pl < 3)]
     return joined.select("Item", *[F.coalesce(F.col(f"f_{k}") if k in have else F.lit(None).cast("double"), F.lit(v).cast("double")).alias(k) for k, v in base.items()])
 
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -79,16 +82,73 @@ def item_se(scored: DataFrame) -> DataFrame:
     return k.select("Item", F.sqrt(F.col("ibb") / safe).alias("se_A"), F.sqrt(F.col("iaa") / safe).alias("se_B"))
 
 
+def item_covariance(scored: DataFrame, free: tuple[str, ...] = PARAMETERS) -> DataFrame:
+    """Item, parameter_1, parameter_2, covariance: the inverse of each item's expected information about its free parameters.
+
+    Null where the information is singular. One aggregation by item; the small inverses are made where their rows are.
+    """
+    t = terms()
+    q = t.p * (1 - t.p)
+    inner = (t.d - t.c) * t.s * (1 - t.s)
+    by = {"A": inner * (t.theta - t.b), "B": -inner * t.a, "C": 1 - t.s, "D": t.s}
+    sums = [F.sum(by[x] * by[y] / q).alias(f"{x}{y}") for n, x in enumerate(free) for y in free[n:]]
+    names = [(x, y) for x in free for y in free]
+
+    def inverses(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            k = len(free)
+            h = np.zeros((len(f), k, k))
+            for n, x in enumerate(free):
+                for m, y in enumerate(free[n:], n):
+                    h[:, n, m] = h[:, m, n] = f[f"{x}{y}"]
+            good = np.isfinite(h).all(axis=(1, 2))
+            good[good] = np.linalg.cond(h[good]) < 1e14
+            cov = np.full_like(h, np.nan)
+            cov[good] = np.linalg.inv(h[good])
+            for n, x in enumerate(free):
+                for m, y in enumerate(free):
+                    yield pd.DataFrame({"Item": f["Item"], "parameter_1": x, "parameter_2": y, "covariance": pd.Series(cov[:, n, m], index=f.index)})
+
+    kind = scored.schema["Item"].dataType.simpleString()
+    out = scored.groupBy("Item").agg(*sums).mapInPandas(inverses, f"Item {kind}, parameter_1 string, parameter_2 string, covariance double")
+    return out.withColumn("covariance", F.nanvl("covariance", F.lit(None).cast("double")))
+
+
+def ability_covariance(scored: DataFrame, scales: list, sd: list[float], corr: list[list[float]] | None = None) -> DataFrame:
+    """id, Scale_1, Scale_2, covariance of a person's abilities: the inverse of their expected information plus the prior's precision.
+
+    Scales that a person has no answers on are there with what the prior says.
+    """
+    k = len(scales)
+    cov = (np.eye(k) if corr is None else np.array(corr, float)) * np.outer(sd, sd)
+    precision = np.linalg.inv(cov + (1e-6 * np.eye(k) if k > 1 else 0))
+    own = [F.coalesce(F.sum(F.when(F.col("Scale") == s, terms().information)), F.lit(0.0)).alias(f"i{n}") for n, s in enumerate(scales)]
+
+    def inverses(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            h = np.repeat(precision[None], len(f), 0)
+            h[:, range(k), range(k)] += f[[f"i{n}" for n in range(k)]].to_numpy(float)
+            inv = np.linalg.inv(h)
+            for n, x in enumerate(scales):
+                for m, y in enumerate(scales):
+                    yield pd.DataFrame({"id": f["id"], "Scale_1": x, "Scale_2": y, "covariance": pd.Series(inv[:, n, m], index=f.index)})
+
+    kinds = {c: scored.schema[c].dataType.simpleString() for c in ("id", "Scale")}
+    return scored.groupBy("id").agg(*own).mapInPandas(inverses, f"id {kinds['id']}, Scale_1 {kinds['Scale']}, Scale_2 {kinds['Scale']}, covariance double")
+
+
 def item_fit(rows: DataFrame) -> DataFrame:
     """Observed and expected share of correct answers by item."""
     return rows.groupBy("Item").agg(F.avg("score").alias("mean_observed"), F.avg("p").alias("mean_expected"), F.count(F.lit(1)).alias("n"))
 
 
-def item_curve(items: DataFrame, low: float = -3.0, high: float = 3.0, steps: int = 600) -> DataFrame:
-    """Item, theta, p on a grid of abilities."""
+def item_curve(items: DataFrame, low: float = -3.0, high: float = 3.0, steps: int = 600, rescale: bool = False) -> DataFrame:
+    """Item, theta, p on a grid of abilities; with ``rescale`` theta is shown in standard deviations of the grid from its mean."""
     theta = F.lit(low) + F.col("g") * ((high - low) / steps)
     g = items.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(steps)))).withColumn("theta", theta)
-    return g.select("Item", "theta", Terms(F.col("theta"), *[F.col(c) for c in PARAMETERS]).p.alias("p"))
+    grid = np.linspace(low, high, steps + 1)
+    shown = (F.col("theta") - float(grid.mean())) / float(grid.std(ddof=1)) if rescale else F.col("theta")
+    return g.select("Item", shown.alias("theta"), Terms(F.col("theta"), *[F.col(c) for c in PARAMETERS]).p.alias("p"))
 
 
 def gauss_hermite(n: int = 5) -> tuple[list[float], list[float]]:

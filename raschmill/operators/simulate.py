@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from raschmill.functions.links import inv_logit, softplus
 from raschmill.functions.model import p_correct
+from raschmill.operators.normalise import normalise
 from raschmill.sources.responses import grid
 
 
@@ -19,10 +20,13 @@ def linear(preds: dict[str, float]) -> Column:
     return total
 
 
-def sim_persons(spark: SparkSession, n: int, corr: list[list[float]], mean: list[float], sd: list[float], seed: int = 1) -> DataFrame:
-    """id, Scale, ability with given correlations, means and deviations for each scale (1..)."""
+def sim_persons(spark: SparkSession, n: int, corr: list[list[float]], mean: list[float], sd: list[float], seed: int = 1, covariates: DataFrame | None = None, effects: dict[int, dict[str, float]] | None = None) -> DataFrame:
+    """id, Scale, ability with given correlations, means and deviations for each scale (1..).
+
+    covariates: id and the columns that ``effects`` names for a scale; they are added to its abilities.
+    """
     k = len(mean)
-    root = np.linalg.cholesky(np.array(corr, dtype=float) * np.outer(sd, sd))
+    root = np.linalg.cholesky(np.array(corr, dtype=float)) * np.array(sd, dtype=float)[:, None]
     df = spark.range(1, n + 1).select("id", *[F.randn(seed + j).alias(f"z{j}") for j in range(k)])
     values = []
     for i in range(k):
@@ -30,14 +34,26 @@ def sim_persons(spark: SparkSession, n: int, corr: list[list[float]], mean: list
         for j in range(i + 1):
             total = total + float(root[i, j]) * F.col(f"z{j}")
         values.append(F.struct(F.lit(i + 1).alias("Scale"), total.alias("ability")))
-    return df.select("id", F.explode(F.array(*values)).alias("v")).select("id", "v.Scale", "v.ability")
+    out = df.select("id", F.explode(F.array(*values)).alias("v")).select("id", "v.Scale", "v.ability")
+    if covariates is None or not effects:
+        return out
+    own = F.lit(0.0)
+    for scale, preds in effects.items():
+        own = F.when(F.col("Scale") == scale, linear(preds)).otherwise(own)
+    return out.join(covariates, "id").select("id", "Scale", (F.col("ability") + own).alias("ability"))
 
 
-def sim_items(spark: SparkSession, per_scale: int, scales: int = 1, a_mean: float = 0.5, a_sd: float = 0.0, b_mean: float = 0.0, b_sd: float = 1.0, c_mean: float = -2.0, c_sd: float = 1.0, seed: int = 11, natural_a: bool = False) -> DataFrame:
-    """Item, Scale, A, B, C, D. A is the softplus of its draw, or the draw itself if natural_a; C = inv_logit of its draw."""
+def sim_items(spark: SparkSession, per_scale: int, scales: int = 1, a_mean: float = 0.5, a_sd: float = 0.0, b_mean: float = 0.0, b_sd: float = 1.0, c_mean: float = -2.0, c_sd: float = 1.0, seed: int = 11, natural_a: bool = False, covariates: DataFrame | None = None, effects: dict[str, dict[str, float]] | None = None) -> DataFrame:
+    """Item, Scale, A, B, C, D. A is the softplus of its draw, or the draw itself if natural_a; C = inv_logit of its draw.
+
+    covariates: Item and the columns that ``effects`` names for A, B or C; they are added to the draws.
+    """
     df = spark.range(1, per_scale * scales + 1).select(F.col("id").alias("Item"), (F.floor((F.col("id") - 1) / per_scale) + 1).cast("int").alias("Scale"))
-    a = a_mean + a_sd * F.randn(seed)
-    return df.select("Item", "Scale", (a if natural_a else softplus(a)).alias("A"), (b_mean + b_sd * F.randn(seed + 1)).alias("B"), inv_logit(c_mean + c_sd * F.randn(seed + 2)).alias("C"), F.lit(1.0).alias("D"))
+    draws = {"A": a_mean + a_sd * F.randn(seed), "B": b_mean + b_sd * F.randn(seed + 1), "C": c_mean + c_sd * F.randn(seed + 2)}
+    df = df.select("Item", "Scale", *[v.alias(k) for k, v in draws.items()])
+    if covariates is not None and effects:
+        df = df.join(covariates, "Item").withColumns({k: F.col(k) + linear(v) for k, v in effects.items()})
+    return df.select("Item", "Scale", (F.col("A") if natural_a else softplus(F.col("A"))).alias("A"), "B", inv_logit(F.col("C")).alias("C"), F.lit(1.0).alias("D"))
 
 
 def shift(df: DataFrame, column: str, preds: dict[str, float]) -> DataFrame:
@@ -51,14 +67,18 @@ def answer(rows: DataFrame, u: Column) -> DataFrame:
     return rows.withColumn("p", p).withColumn("score", (u < F.col("p")).cast("int"))
 
 
-def sim_irt(spark: SparkSession, persons: int = 100, items: int = 200, scales: int = 1, a_mean: float = 1.0, a_sd: float = 0.0, b_mean: float = 0.0, b_sd: float = 1.0, c_mean: float = -2.0, c_sd: float = 1.0, ability_mean: float = 0.0, ability_sd: float = 1.0, seed: int = 1, answered: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+def sim_irt(spark: SparkSession, persons: int = 100, items: int = 200, scales: int = 1, a_mean: float = 1.0, a_sd: float = 0.0, b_mean: float = 0.0, b_sd: float = 1.0, c_mean: float = -2.0, c_sd: float = 1.0, ability_mean: float = 0.0, ability_sd: float = 1.0, seed: int = 1, answered: int | None = None, item_covariates: DataFrame | None = None, item_effects: dict[str, dict[str, float]] | None = None, person_covariates: DataFrame | None = None, ability_effects: dict[int, dict[str, float]] | None = None, normal: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(answers, items, abilities). With ``answered``, each person has that many random items of each scale.
 
-    Items are keyed by scale and number, so covariates of one scale never drop the others.
+    Covariates (by Item, by id) are added with their effects and come along on the answers. Items are keyed by number
+    over all scales, so covariates of one scale never drop the others. ``normal`` brings abilities to median 0 and
+    quartiles one apart, and items with them, before answers are drawn.
     """
-    item = sim_items(spark, items, scales, a_mean, a_sd, b_mean, b_sd, c_mean, c_sd, seed + 100, natural_a=True)
+    item = sim_items(spark, items, scales, a_mean, a_sd, b_mean, b_sd, c_mean, c_sd, seed + 100, natural_a=True, covariates=item_covariates, effects=item_effects)
     eye = np.eye(scales).tolist()
-    person = sim_persons(spark, persons, eye, [ability_mean] * scales, [ability_sd] * scales, seed)
+    person = sim_persons(spark, persons, eye, [ability_mean] * scales, [ability_sd] * scales, seed, person_covariates, ability_effects)
+    if normal:
+        item, person = normalise(item, person)
     rows = grid(spark, persons, items, scales).join(item, ["Item", "Scale"]).join(person, ["id", "Scale"])
     rows = rows.withColumn("u", F.rand(seed + 200))
     if answered is not None:
@@ -67,4 +87,9 @@ def sim_irt(spark: SparkSession, persons: int = 100, items: int = 200, scales: i
         w = Window.partitionBy("id", "Scale").orderBy(F.xxhash64("id", "Item", F.lit(seed)))
         rows = rows.withColumn("k", F.row_number().over(w)).where(F.col("k") <= answered)
     rows = answer(rows, F.col("u"))
-    return rows.select("id", "Item", "Scale", F.col("ability").alias("Ability"), "A", "B", "C", F.lit(0.0).alias("pcorrect"), "score", "p"), item, person
+    more = []
+    for key, side in (("Item", item_covariates), ("id", person_covariates)):
+        if side is not None:
+            rows = rows.join(side, key)
+            more += [c for c in side.columns if c != key]
+    return rows.select("id", "Item", "Scale", F.col("ability").alias("Ability"), "A", "B", "C", F.lit(0.0).alias("pcorrect"), "score", "p", *more), item, person

@@ -42,6 +42,12 @@ def gradient(theta: Column, items: Column) -> Column:
     return F.aggregate(items, zero, add, lambda t: t["j"] / (2 * t["i"]) + t["l"])
 
 
+def wle_of(model, responses: DataFrame | None = None, **how: float) -> DataFrame:
+    """id, Scale, wle, wle_se of a fitted model's persons (or of other answers) under its item parameters."""
+    rows = model.responses if responses is None else responses
+    return wle(cells(rows.select("id", "Scale", "Item", "score").join(model.items.select("Item", "A", "B", "C", "D"), "Item")), **how)
+
+
 def wle(by_person: DataFrame, low: float = -5.0, high: float = 5.0, tolerance: float = TOLERANCE) -> DataFrame:
     """id, Scale, wle, wle_se.
 

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -141,6 +142,11 @@ def item_curve(spark, sf):
     return rounded(scoring.item_curve(items(responses(spark, sf))), "theta", "p")
 
 
+@query(_curve_sql(-3, 3, 600).replace("round((-3::double + g * (6::double / 600)), 6)", f"round((-3::double + g * (6::double / 600)) / {float(np.linspace(-3, 3, 601).std(ddof=1))!r}::double, 6)"))
+def item_curve_rescaled(spark, sf):
+    return rounded(scoring.item_curve(items(responses(spark, sf)), rescale=True), "theta", "p")
+
+
 @query(f"select {_K}, round(p, 6) as p, round(p_observed, 6) as p_observed from P")
 def prob_observed(spark, sf):
     return rounded(predicted(spark, sf).select(*KEYS, "p", "p_observed"), "p", "p_observed")
@@ -186,6 +192,26 @@ def item_se(spark, sf):
     return rounded(scoring.item_se(scored(spark, sf)), "se_A", "se_B")
 
 
+_I2 = f"""(select "Item", iaa, iab, ibb, iaa * ibb - iab * iab as det from (select "Item", sum({_W} * pow(ability - B, 2)) as iaa, sum(-{_W} * A * (ability - B)) as iab, sum({_W} * A * A) as ibb from P group by "Item"))"""
+
+
+@query(f"""select "Item", 'A' as parameter_1, 'A' as parameter_2, round(ibb / det, 6) as covariance from {_I2} union all select "Item", 'A', 'B', round(-iab / det, 6) + 0.0 from {_I2}
+  union all select "Item", 'B', 'A', round(-iab / det, 6) + 0.0 from {_I2} union all select "Item", 'B', 'B', round(iaa / det, 6) from {_I2}""")
+def item_cov(spark, sf):
+    return rounded(scoring.item_covariance(scored(spark, sf), ("A", "B")), "covariance")
+
+
+_Q2 = np.linalg.inv(np.array([[1.0, 1.0], [1.0, 4.0]]) + 1e-6 * np.eye(2)).tolist()
+_C2 = f"""(select id, a, c, q, a * c - q * q as det from (select id, coalesce(sum(d1 * d1 / (p * (1 - p))) filter (where "Scale" = 1), 0) + {_Q2[0][0]!r}::double as a,
+  coalesce(sum(d1 * d1 / (p * (1 - p))) filter (where "Scale" = 2), 0) + {_Q2[1][1]!r}::double as c, {_Q2[0][1]!r}::double as q from P group by id))"""
+
+
+@query(f"""select id, 1 as "Scale_1", 1 as "Scale_2", round(c / det, 6) as covariance from {_C2} union all select id, 1, 2, round(-q / det, 6) + 0.0 from {_C2}
+  union all select id, 2, 1, round(-q / det, 6) + 0.0 from {_C2} union all select id, 2, 2, round(a / det, 6) from {_C2}""")
+def ability_cov(spark, sf):
+    return rounded(scoring.ability_covariance(scored(spark, sf), [1, 2], [1.0, 2.0], [[1.0, 0.5], [0.5, 1.0]]), "covariance")
+
+
 def _integrated_sql() -> str:
     x, w = scoring.gauss_hermite(5)
     total = " + ".join(f"{b!r}::double * case when score = 1 then q{i} else 1 - q{i} end" for i, b in enumerate(w))
@@ -316,7 +342,7 @@ def split_by_subject(spark, sf):
 @query('select "Item", case when brand % 2 = 0 then round(A, 6) end as A, case when brand % 3 = 0 then round(B, 6) + 0.0 end as B, 0.0::double as C, 1.0::double as D from I')
 def item_setup(spark, sf):
     i = items(responses(spark, sf))
-    fixed = i.where("brand % 2 = 0 or brand % 3 = 0").select("Item", F.when(F.col("brand") % 2 == 0, F.col("A")).alias("A"), F.when(F.col("brand") % 3 == 0, F.col("B")).alias("B"))
+    fixed = i.where("brand % 2 = 0 or brand % 3 = 0").select("Item", F.when(F.col("brand") % 2 == 0, F.col("A")).alias("A"), F.when(F.col("brand") % 3 == 0, F.col("B")).alias("B"), F.lit(0.2).alias("C"))
     return rounded(prep.item_setup(i, 2, fixed), "A", "B")
 
 
@@ -419,22 +445,31 @@ def ebayes_moments(spark, sf):
 _LOGIT_C = "ln(C + 1e-8) - ln(1 - (C + 1e-8))"
 
 
-@query("select " + ", ".join(f"round(avg({e}), 6) + 0.0 as {k}_mean, round(stddev_samp({e}) * 2 + 1e-5, 6) as {k}_sd" for k, e in (("a", _RAW_A), ("b", "B"), ("c", _LOGIT_C))) + " from I")
+_LOGIT_D = "case when D + 1e-8 < 1 then ln(D + 1e-8) - ln(1 - (D + 1e-8)) end"
+
+
+@query("select " + ", ".join(f"round(avg({e}), 6) + 0.0 as {k}_mean, round(stddev_samp({e}) * 2 + 1e-5, 6) as {k}_sd" for k, e in (("a", _RAW_A), ("b", "B"), ("c", _LOGIT_C), ("d", _LOGIT_D))) + " from I")
 def priors_from_fixed(spark, sf):
     out = moments.priors_from_fixed(items(responses(spark, sf)))
     return rounded(out, *out.columns)
 
 
+@query('select cast("Scale" as varchar) as "Scale", round(avg(ability), 6) + 0.0 as mean, round(stddev_samp(ability) * 2 + 1e-5, 6) as sd from T group by "Scale"')
+def ability_priors_from_fixed(spark, sf):
+    mean, sd, _ = moments.ability_priors_from_fixed(abilities(responses(spark, sf)))
+    return rounded(spark.createDataFrame([(k, mean[k], sd[k]) for k in sorted(mean)], "Scale string, mean double, sd double"), "mean", "sd")
+
+
 @query("select id, round(avg(x1), 6) as x1, round(avg(x2), 6) as x2 from R group by id")
 def covariate_means(spark, sf):
     return rounded(moments.covariate_means(responses(spark, sf), "id", ("x1", "x2")), "x1", "x2")
 
 
-@query("""select covariate, beta, round(beta * sx / sp, 6) + 0.0 as effect from (select 'x1' as covariate, 0.3::double as beta, (select stddev_samp(x1) from R) as sx union all
-  select 'x2', -0.2, (select stddev_samp(x2) from R)), (select stddev_samp(ability) as sp from T)""")
+@query("""select "Scale", covariate, beta, round(beta * sx / sp, 6) + 0.0 as effect from (select 'x1' as covariate, 0.3::double as beta, (select stddev_samp(x1) from R) as sx union all
+  select 'x2', -0.2, (select stddev_samp(x2) from R)), (select "Scale", stddev_samp(ability) as sp from T group by "Scale")""")
 def covariate_effects_std(spark, sf):
     r = responses(spark, sf)
-    return rounded(moments.standardised_effects(r, abilities(r), {"x1": 0.3, "x2": -0.2}, "ability"), "effect")
+    return rounded(moments.standardised_effects(r, abilities(r), {"x1": 0.3, "x2": -0.2}, "ability", "Scale"), "effect")
 
 
 @query("""select a."Scale" as scale_a, b."Scale" as scale_b, round(covar_samp(a.ability, b.ability) / (stddev_samp(a.ability) * stddev_samp(b.ability)), 6) + 0.0 as corr
@@ -486,9 +521,9 @@ def normalise_per_scale(spark, sf):
 # ---------------------------------------------------------------- weighted likelihood
 
 
-def _wle_sql() -> str:
+def _wle_sql(source: str = "S") -> str:
     """The same bisection with aggregates by person in each step (40 steps, all persons at once)."""
-    cells = ', cells as materialized (select id, "Scale", "Item", A, B, C, D, sum(score) as n1, count(*) - sum(score) as n0 from S group by id, "Scale", "Item", A, B, C, D)'
+    cells = f', cells as materialized (select id, "Scale", "Item", A, B, C, D, sum(score) as n1, count(*) - sum(score) as n0 from {source} group by id, "Scale", "Item", A, B, C, D)'
     terms = "A * (D - C) * s * (1 - s) as d1, C + (D - C) * s as p"
 
     def grad(name: str, source: str, theta: str) -> str:
@@ -497,8 +532,8 @@ def _wle_sql() -> str:
 
     out, last = cells + ', w0 as materialized (select distinct id, "Scale", -5.0::double as lo, 5.0::double as hi from cells)', "w0"
     for k in range(1, 4):  # intervals of data with both answers are wide enough after three
-        out += grad(f"a{k}", last, "w.lo") + grad(f"b{k}", last, "w.hi")
-        out += f', w{k} as materialized (select id, "Scale", case when sign(a{k}.g) = sign(b{k}.g) then lo - (hi - lo) else lo end as lo, case when sign(a{k}.g) = sign(b{k}.g) then hi + 2 * (hi - lo) else hi end as hi from {last} join a{k} using (id, "Scale") join b{k} using (id, "Scale"))'
+        out += grad(f"ga{k}", last, "w.lo") + grad(f"gb{k}", last, "w.hi")
+        out += f', w{k} as materialized (select id, "Scale", case when sign(ga{k}.g) = sign(gb{k}.g) then lo - (hi - lo) else lo end as lo, case when sign(ga{k}.g) = sign(gb{k}.g) then hi + 2 * (hi - lo) else hi end as hi from {last} join ga{k} using (id, "Scale") join gb{k} using (id, "Scale"))'
         last = f"w{k}"
     out += grad("s0", last, "w.lo")
     for k in range(10, 30):
@@ -574,10 +609,31 @@ def fit_1pl(spark, sf):
     return _summary(fit_irt(responses(spark, sf), config=IrtConfig(ebayes=False), fixed_sweeps=4))  # as many as the SQL has
 
 
+_SWEPT = _fit_sql(4).partition(" select 'item' as kind")[0] + ', W as (select f.id, f."Scale", f."Item", f.score, 1.0::double as A, b4.v as B, 0.0::double as C, 1.0::double as D from F2p f join b4 using ("Item"))'
+
+
+@query(_SWEPT + _wle_sql("W") + ' select id, "Scale", round(wle, 3) + 0.0 as wle from e')
+def wle_of_fit(spark, sf):
+    """Weighted likelihood estimates under the item parameters of a fit."""
+    m = fit_irt(responses(spark, sf), config=IrtConfig(ebayes=False), fixed_sweeps=4)
+    return rounded(wle_ops.wle_of(m).select("id", "Scale", "wle"), "wle", digits=3)
+
+
 def _items_of(m: IrtModel) -> DataFrame:
     return m.items.select("Item", "Scale", "A", "B", "C", "D")
 
 
+@query()
+def fit_1pl_converged(spark, sf):
+    return _items_of(_fitted(spark, sf))
+
+
+@query()
+def fit_integrated(spark, sf):
+    """The likelihood of each answer is integrated along the ability, with deviations from the curvature."""
+    return _items_of(_fitted(spark, sf, integrate_points=5))
+
+
 @query()
 def fit_2pl(spark, sf):
     return _items_of(_fitted(spark, sf, pl=2))
@@ -605,7 +661,7 @@ def fit_fixed_items(spark, sf):
 
 
 def _effects(spark, m: IrtModel) -> DataFrame:
-    return spark.createDataFrame([(k, x, v) for k, b in sorted(m.effects.items()) for x, v in sorted(b.items())], "parameter string, covariate string, beta double")
+    return m.covariate_effects.select("parameter", F.coalesce(F.col("Scale").cast("string"), F.lit("all")).alias("Scale"), "covariate", "beta", "linearised", "standardised")
 
 
 @query()
@@ -689,6 +745,24 @@ def sim_items(spark, sf):
     return simulate.sim_items(spark, table(spark, sf, "part").count(), 2)
 
 
+@query()
+def sim_with_covariates(spark, sf):
+    """Answers of simulated persons and items whose parameters depend on covariates."""
+    people = table(spark, sf, "customer").select(F.col("c_custkey").cast("long").alias("id"), (F.col("c_acctbal") / 10_000).alias("balance"))
+    bank = spark.range(1, 41).select(F.col("id").alias("Item"), (F.col("id") * 7 % 11 / 10).alias("price"))
+    return simulate.sim_irt(spark, people.count(), 20, 2, answered=10, item_covariates=bank, item_effects={"B": {"price": 0.5}, "C": {"price": -0.2}}, person_covariates=people, ability_effects={1: {"balance": 0.8}, 2: {"balance": -0.3}}, normal=True)[0]
+
+
+@query()
+def cat_session(spark, sf):
+    """Two rounds of adaptive testing of all persons: choose, answer, fit, append."""
+    r = responses(spark, sf)
+    truth = abilities(r).withColumnRenamed("ability", "true")
+    draw = lambda rows, n: simulate.answer(rows.join(truth, ["id", "Scale"], "left").withColumn("own", F.col("ability")).withColumn("ability", F.coalesce("true", F.lit(0.0))), F.pmod(F.xxhash64("id", "Item", F.lit(n)), F.lit(1000)) / 1000).withColumn("ability", F.col("own"))
+    log, _ = adaptive.session(r.select("id").distinct(), items(r).drop("brand"), draw, 2)
+    return log
+
+
 _REMAIN = '(select p.id, I.* from (select distinct id from R) p, I where not exists (select 1 from R where R.id = p.id and R."Item" = I."Item" and u < 0.5))'
 
 
