@@ -7,10 +7,12 @@ all documents. A bounded sample of labelled documents (labelled.py) gives the te
 leading singular vectors span the space; their own vectors and labels are broadcast, a fixed size.
 
 Each block of documents is projected, its exact cosines with all labelled vectors are one matrix
-product, and the NEIGHBOURS nearest vote with weights that grow with the similarity.
+product, and the NEIGHBOURS nearest vote with weights that grow with the similarity; all that are as near as the last
+of them vote too.
 
 Defined results: a null or empty text has no terms; like any text with a zero vector, it gets the
-share of good rows in the sample (0.5 without labelled rows); repeated rows are scored each.
+share of good rows in the sample (0.5 without labelled rows); repeated rows are scored each; a very long text is
+counted whole, as a slice of its own.
 """
 
 from __future__ import annotations
@@ -86,6 +88,10 @@ def _weighted(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
 
+def _weights(cos: np.ndarray) -> np.ndarray:
+    return np.maximum(cos, 0).astype(np.float64) ** SHARPNESS + 1e-12
+
+
 @dataclass
 class QualityModel:
     prior: float = 0.5
@@ -108,8 +114,14 @@ class QualityModel:
         for i in range(0, len(live), 256):
             cos = z[live[i : i + 256]] @ self.vectors.T
             near = np.argpartition(-cos, k - 1, axis=1)[:, :k]
-            w = np.maximum(np.take_along_axis(cos, near, axis=1), 0).astype(np.float64) ** SHARPNESS + 1e-12
-            out[live[i : i + 256]] = (w * self.labels[near]).sum(axis=1) / w.sum(axis=1)
+            best = np.take_along_axis(cos, near, axis=1)
+            w = _weights(best)
+            vote = (w * self.labels[near]).sum(axis=1) / w.sum(axis=1)
+            level = cos >= best.min(axis=1, keepdims=True)
+            for j in np.flatnonzero(level.sum(axis=1) > k).tolist():
+                w = _weights(cos[j, level[j]])
+                vote[j] = (w * self.labels[level[j]]).sum() / w.sum()
+            out[live[i : i + 256]] = vote
         return np.clip(out, 0, 1)
 
 

@@ -18,7 +18,7 @@ sample; scoring is one pass without a shuffle over whole
 texts, and the model that is broadcast has a fixed size (2 ** BITS weights).
 
 Defined results: a null or empty text scores as one without tokens; without labelled rows of both
-classes every score is the share of toxic rows (0.5 without any); repeated rows are scored each; a very long text is
+classes every score is the share of toxic rows (0.5 without any) and the filter drops nothing; repeated rows are scored each; a very long text is
 scored whole, as a slice of its own.
 """
 
@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Prefix, Words, mix, sliced, slices
+from .common import Prefix, Words, mix, release, sliced, slices
 from .labelled import labelled_sample
 
 BITS = 18
@@ -282,7 +282,9 @@ def score(docs: DataFrame, model: ToxicityModel, doc_id: str = "doc_id", text: s
 
 
 def drop_toxic(docs: DataFrame, model: ToxicityModel, text: str = "text", threshold: float = 0.5) -> DataFrame:
-    """The documents that score below the threshold, with all their columns; no shuffle."""
+    """The documents that score below the threshold, with all their columns; no shuffle. A model that has not seen both classes drops none."""
+    if model.doc is None:
+        return docs
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -290,5 +292,6 @@ def drop_toxic(docs: DataFrame, model: ToxicityModel, text: str = "text", thresh
             col = b.column(b.schema.get_field_index(text)).cast(pa.string())
             scores = [shared.value.score(Words(data, offs))[0] for _, _, data, offs in sliced(col)]
             yield b.filter(pa.array(np.concatenate([np.zeros(0), *scores]) < threshold))
+        release()
 
     return docs.mapInArrow(run, docs.schema)
