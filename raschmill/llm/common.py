@@ -8,6 +8,7 @@ not depend on the batch; a single document longer than that is a slice of its ow
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 import zlib
 
@@ -62,6 +63,19 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release() -> None:
+    """Give memory that a task no longer uses back to the system; a worker outlives its tasks, and allocators keep what is freed."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
+try:
+    _trim = ctypes.CDLL(None).malloc_trim  # glibc only
+except (AttributeError, OSError):
+    _trim = None
+
+
 # ---------------------------------------------------------------- bytes of a text column
 
 
@@ -116,9 +130,9 @@ def _power_tables(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
             p = np.full(size, b, dtype=np.uint64)
             p[0] = 1
             out.append(np.multiply.accumulate(p))
-        got = _powers[which] = (out[0], out[1])
-        if size > 8 * SLICE_BYTES:  # a giant text's tables are not kept
-            _powers.pop(which)
+        got = (out[0], out[1])
+        if size <= SLICE_BYTES + 4096:  # a longer text's tables are not kept
+            _powers[which] = got
     return got
 
 

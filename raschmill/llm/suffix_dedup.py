@@ -21,10 +21,11 @@ No suffix array is made of the dictionary, the parse or the corpus.
 Scale. Documents are dealt by a hash into units of a few megabytes. A unit sends each distinct
 phrase or window once, however many copies it holds, so a group of copies or a common passage
 weighs no more than one entry for each unit, and fingerprints spread evenly. Phrases are compared
-by 128 bits (core and phrase), windows by 128 bits (two fingerprints).
+by 128 bits (core and phrase), windows by 128 bits (two fingerprints), in the buckets as in the units that are told.
 
 Defined results: a null text has no bytes; texts shorter than the window lose nothing; matches
-never cross documents but may overlap inside one; repeated rows are repeated text; an empty table
+never cross documents but may overlap inside one; repeated rows are repeated text; a very long text is
+parsed whole, as a slice of its own; an empty table
 gives an empty result; other columns, whatever their names, are carried in a struct of their own.
 """
 
@@ -38,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Prefix, byte_view, mix, slices, written
+from .common import Prefix, byte_view, mix, release, slices, written
 
 WIDTH = 200
 TRIGGER = 12
@@ -100,6 +101,7 @@ class Parse:
 def _parses(text: pa.ChunkedArray, width: int) -> Iterator[tuple[int, Parse]]:
     """(first row, parse) of slices of a unit's texts."""
     data, offs = byte_view(text)
+    release()
     for lo, hi in slices(offs):
         yield lo, Parse(data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo], width)
 
@@ -142,8 +144,13 @@ def _gathered(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return entries[order], unit[order]
 
 
-def _replies(unit: np.ndarray, kind: np.ndarray, value: np.ndarray) -> pa.Table:
-    """One row for each unit and kind, with the values for it."""
+_PAIR = np.dtype([("key", "<u8"), ("more", "<u8")])
+
+
+def _replies(unit: np.ndarray, kind: np.ndarray, key: np.ndarray, more: np.ndarray) -> pa.Table:
+    """One row for each unit and kind, with the pairs (key, more) for it."""
+    value = np.zeros(len(key), _PAIR)
+    value["key"], value["more"] = key, more
     order = np.lexsort((kind, unit))
     unit, kind, value = unit[order], kind[order], value[order]
     cut = np.flatnonzero(np.concatenate(([True], (unit[1:] != unit[:-1]) | (kind[1:] != kind[:-1])))) if len(unit) else np.zeros(0, np.int64)
@@ -172,7 +179,7 @@ def _settle_phrases(t: pa.Table) -> pa.Table:
     pick = np.concatenate((np.flatnonzero(settled), np.flatnonzero(supports), np.flatnonzero(asking)))
     kind = np.repeat([SETTLED, SUPPORTS, ASKING], [settled.sum(), supports.sum(), asking.sum()])
     assert len(phrase) == n
-    return _replies(unit[pick], kind, e["more"][pick])
+    return _replies(unit[pick], kind, e["more"][pick], e["key"][pick])
 
 
 def _settle_windows(t: pa.Table) -> pa.Table:
@@ -182,21 +189,44 @@ def _settle_windows(t: pa.Table) -> pa.Table:
     which = np.cumsum(new) - 1
     often = np.bincount(which, weights=1 + (e["flag"] & _FREQUENT)) > 1
     told = np.flatnonzero(often[which] & ((e["flag"] & _ASKS) > 0))
-    return _replies(unit[told], np.full(len(told), REPEATED), e["key"][told])
+    return _replies(unit[told], np.full(len(told), REPEATED), e["key"][told], e["more"][told])
 
 
-def _told(replies: pa.Table) -> dict[int, np.ndarray]:
-    """Sorted values by kind."""
-    by: dict[int, list[np.ndarray]] = {k: [np.zeros(0, np.uint64)] for k in range(4)}
-    for k, p in zip(replies.column("kind").to_pylist(), replies.column("payload").to_pylist()):
-        by[k].append(np.frombuffer(p, "<u8"))
-    return {k: np.unique(np.concatenate(v)) for k, v in by.items()}
+class _Pairs:
+    """A set of pairs of 64 bits."""
+
+    def __init__(self, blobs: list[bytes]):
+        v = np.frombuffer(b"".join(blobs), _PAIR)
+        order = np.lexsort((v["more"], v["key"]))
+        self.key, self.more = v["key"][order], v["more"][order]
 
+    def __len__(self) -> int:
+        return len(self.key)
 
-def _is_in(x: np.ndarray, values: np.ndarray) -> np.ndarray:
-    if not len(values) or not len(x):
-        return np.zeros(len(x), dtype=bool)
-    return values[np.minimum(np.searchsorted(values, x), len(values) - 1)] == x
+    def has_key(self, key: np.ndarray) -> np.ndarray:
+        if not len(self) or not len(key):
+            return np.zeros(len(key), dtype=bool)
+        return self.key[np.minimum(np.searchsorted(self.key, key), len(self) - 1)] == key
+
+    def has(self, key: np.ndarray, more: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(key), dtype=bool)
+        rest = np.flatnonzero(self.has_key(key))
+        at = np.searchsorted(self.key, key[rest]) if len(rest) else rest
+        while len(rest):  # more than once only where pairs share their first half
+            out[rest] = self.more[at] == more[rest]
+            go = ~out[rest] & (at + 1 < len(self))
+            rest, at = rest[go], at[go] + 1
+            go = self.key[at] == key[rest]
+            rest, at = rest[go], at[go]
+        return out
+
+
+def _told(replies: pa.Table) -> dict[int, _Pairs]:
+    """What a unit is told, by kind."""
+    by: dict[int, list[bytes]] = {k: [] for k in range(4)}
+    for k, p in zip(replies.column("kind").to_pylist(), replies.column("payload").to_pylist()):
+        by[k].append(p)
+    return {k: _Pairs(v) for k, v in by.items()}
 
 
 def _unit_of(t: pa.Table) -> int:
@@ -232,9 +262,9 @@ def find_repeats(docs: DataFrame, text: str = "text", width: int = WIDTH) -> Dat
         one, two, asks = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], [np.zeros(0, bool)]
         if t.num_rows and (len(told[ASKING]) or len(told[SUPPORTS])):
             for _, parse in _parses(t.column("text"), width):
-                phrase = parse.phrases()
+                core, phrase = parse.cores(), parse.phrases()
                 for asking, values in ((True, told[ASKING]), (False, told[SUPPORTS])):
-                    at = parse.windows(np.flatnonzero(_is_in(phrase, values)))
+                    at = parse.windows(np.flatnonzero(values.has(phrase, core)))
                     one.append(parse.hash.of(at, at + width))
                     two.append(Prefix(parse.data, 1).of(at, at + width) if len(at) else at.astype(np.uint64))
                     asks.append(np.full(len(at), asking))
@@ -251,14 +281,18 @@ def find_repeats(docs: DataFrame, text: str = "text", width: int = WIDTH) -> Dat
         found: list[list[dict]] = []
         for _, parse in _parses(t.column("text"), width):
             change = np.zeros(len(parse.data) + 1, dtype=np.int32)
-            phrase = parse.phrases() if len(parse.p) else np.zeros(0, np.uint64)
+            core, phrase = (parse.cores(), parse.phrases()) if len(parse.p) else (np.zeros(0, np.uint64),) * 2
             a, b = parse.spans()
-            gone = _is_in(phrase, told[SETTLED])
+            gone = told[SETTLED].has(phrase, core)
             np.add.at(change, a[gone], 1)
             np.add.at(change, b[gone], -1)
             if len(told[REPEATED]):
-                at = parse.windows(np.flatnonzero(_is_in(phrase, told[ASKING])))
-                at = at[_is_in(parse.hash.of(at, at + width), told[REPEATED])]
+                at = parse.windows(np.flatnonzero(told[ASKING].has(phrase, core)))
+                one = parse.hash.of(at, at + width)
+                known = told[REPEATED].has_key(one)
+                at, one = at[known], one[known]
+                if len(at):
+                    at = at[told[REPEATED].has(one, Prefix(parse.data, 1).of(at, at + width))]
                 np.add.at(change, at, 1)
                 np.add.at(change, at + width, -1)
             covered = np.zeros(len(parse.data) + 1, dtype=bool)

@@ -77,3 +77,17 @@ def test_edges(spark):
     assert got == [("1", "", 5, "x"), ("1", "", 5, "x"), ("None", "", None, None)] or got == [("1", "", 5, "x"), ("1", "", 5, "x"), ("None", None, None, None)]
     cut = spark.createDataFrame([(1, "é" * 150 + "q"), (2, "z" + "é" * 150)], "doc_id long, text string")
     assert [r["text"] for r in remove_repeats(cut, width=201).orderBy("row.doc_id").collect()] == ["q", "z"]
+
+
+def test_pairs_that_share_half():
+    import numpy as np
+
+    from raschmill.llm.suffix_dedup import _PAIR, _Pairs
+
+    r = random.Random(3)
+    have = [(r.randrange(6), r.randrange(40)) for _ in range(60)]
+    pairs = _Pairs([np.array(have[:30], _PAIR).tobytes(), np.array(have[30:], _PAIR).tobytes()])
+    ask = [(k, m) for k in range(8) for m in range(45)]
+    key, more = (np.array([x[j] for x in ask], np.uint64) for j in (0, 1))
+    assert pairs.has(key, more).tolist() == [x in have for x in ask]
+    assert not _Pairs([]).has(key, more).any()
