@@ -4,7 +4,10 @@ contamination, tokens. Each stage works on all that the one before it kept, writ
 Documents that a filter does not reject keep all their columns. The suffix stage shortens texts
 (characters cut by a removed run are dropped) and brings n_chars up to date; it keeps documents that
 it leaves empty. The last stage returns doc_id, lang, source, n_tokens, ids, ids_sha256 and
-decoded_sha256. A null text is an empty one in every stage.
+decoded_sha256. A null text is an empty one in every stage; empty texts are kept (they hold no toxic word,
+repeat or benchmark window and are near copies of nothing). Rows with the same id and text are one document; an id with two
+texts is two. Rows without an id are never near copies. Very long texts are processed whole in every stage, and an
+empty table gives an empty result. Other columns, whatever their names, pass all stages but the last.
 """
 
 from __future__ import annotations
