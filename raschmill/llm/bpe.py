@@ -9,12 +9,13 @@ most once, so the work is linear in the piece, and the tokens are exactly those
 Decoding: the bytes of all tokens lie in one array; ids are expanded by one vectorised gather
 through the array of offsets.
 
-Pieces repeat, so each worker keeps encodings of white-space chunks in a table of at most
-CACHE_ENTRIES entries that is emptied when full.
+Pieces repeat, so each worker keeps encodings of white-space chunks in a table of at most CACHE_ENTRIES entries
+and CACHE_BYTES bytes that is emptied when full; chunks over CHUNK characters are not kept. The table of
+compatible pairs is bounded by CACHE_ENTRIES as well.
 
 Defined results: a null text encodes as the empty text (no tokens; decoded text empty); strings of
-added tokens inside a text become those tokens, as in the library; repeated rows are encoded each;
-other columns do not matter.
+added tokens inside a text become those tokens, as in the library; repeated rows are encoded each; a very
+long text is encoded whole, as a slice of its own; other columns do not matter.
 """
 
 from __future__ import annotations
@@ -32,7 +33,9 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CACHE_ENTRIES = 300_000
+from .common import release
+
+CACHE_ENTRIES, CACHE_BYTES, CHUNK = 300_000, 12 << 20, 200
 _SLICE_ROWS_BYTES = 1 << 20
 
 # The published piece pattern of the byte-level tokenizer, and Unicode white space.
@@ -101,7 +104,8 @@ class BacktrackingBpe(dict):
             self._longest.add_word(b.decode("latin-1"), k)
         self._longest.make_automaton()
         self._shorter: list[int] = [next((of_bytes[b[:n]] for n in range(len(b) - 1, 0, -1) if b[:n] in of_bytes), -1) for b in self._bytes]
-        self._fits: dict[tuple[int, int], bool] = {}
+        self._fits: dict[int, bool] = {}
+        self._held = 0
 
         size = max([*vocab.values(), *self.added.values()]) + 1
         self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
@@ -115,11 +119,11 @@ class BacktrackingBpe(dict):
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether merging would leave a | b as neighbours: no merge across the border comes before those inside."""
-        known = self._fits.get((a, b))
+        known = self._fits.get(key := a << 32 | b)
         if known is None:
-            if len(self._fits) > 4 * CACHE_ENTRIES:
+            if len(self._fits) >= CACHE_ENTRIES:
                 self._fits.clear()
-            known = self._fits[a, b] = self._compatible(a, b)
+            known = self._fits[key] = self._compatible(a, b)
         return known
 
     def _compatible(self, a: int, b: int) -> bool:
@@ -167,9 +171,16 @@ class BacktrackingBpe(dict):
                 at -= self._len[k]
         return [self._id[k] for k in out]
 
+    def _keep(self, text: str, ids: bytes) -> bytes:
+        if len(text) <= CHUNK:
+            self._held += len(text) + len(ids)
+            if len(self) >= CACHE_ENTRIES or self._held > CACHE_BYTES:
+                self.clear()
+                self._held = 0
+            self[text] = ids
+        return ids
+
     def __missing__(self, chunk: str) -> bytes:
-        if len(self) >= CACHE_ENTRIES:
-            self.clear()
         ids: list[int] = []
         pieces = _PIECE.findall(chunk)
         for p in pieces:
@@ -177,14 +188,13 @@ class BacktrackingBpe(dict):
                 ids.extend(np.frombuffer(self.piece(p), self.dtype).tolist())
             else:
                 ids.extend(self.encode_piece(p.encode()))
-        self[chunk] = out = np.array(ids, dtype=self.dtype).tobytes()
-        return out
+        return self._keep(chunk, np.array(ids, dtype=self.dtype).tobytes())
 
     def piece(self, p: str) -> bytes:
         """The ids of one piece, shared with chunks that are that piece alone."""
         known = self.get(p)
         if known is None:
-            known = self[p] = np.array(self.encode_piece(p.encode()), dtype=self.dtype).tobytes()
+            known = self._keep(p, np.array(self.encode_piece(p.encode()), dtype=self.dtype).tobytes())
         return known
 
     def encode_bytes(self, text: str) -> bytes:
@@ -289,5 +299,6 @@ def round_trip(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(out, names)
                 at += len(texts)
+        release()
 
     return two.mapInArrow(run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)

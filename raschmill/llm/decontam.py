@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, byte_view, ngrams, sliced, written
+from .common import Words, byte_view, ngrams, release, sliced, written
 
 WINDOW = 13
 MAX_BLOCK_BYTES = 8 << 20
@@ -136,6 +136,7 @@ def _found(docs: DataFrame, benchmark: DataFrame, text: str, item_id: str, item_
                 before = list(zip(b.column(len(plain) + 2).to_pylist(), b.column(len(plain) + 3).to_pylist())) if again else None
                 rows = list(_scan(shared.value, own[plain.index(text)].cast(pa.string()), before))
                 yield pa.RecordBatch.from_arrays([*own, *(pa.array([r[i] for r in rows], t) for i, (_, t) in enumerate(_FOUND))], [*plain, *free])
+            release()
 
         return df.mapInArrow(run, kind)
 
