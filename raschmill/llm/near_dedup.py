@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, Words, byte_view, mix, sliced, written
+from .common import Scratch, Words, byte_view, mix, release, sliced, written
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -145,6 +145,7 @@ def word_idf(docs: DataFrame) -> Idf:
                 words.append(h[np.concatenate(([True], (d[1:] != d[:-1]) | (h[1:] != h[:-1])))] if len(h) else h)
             h, df = np.unique(np.concatenate(words), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(df)], ["word", "df"])
+        release()
 
     n = docs.count()
     common = docs.select("text").mapInArrow(run, "word long, df long").groupBy("word").agg(F.sum("df").alias("df")).where(F.col("df") * COMMON >= n).toPandas()
@@ -167,6 +168,7 @@ def _signed(docs: DataFrame, idf: Idf, kind: str) -> DataFrame:
                 bands = pa.ListArray.from_arrays(pa.array(np.arange(hi - lo + 1) * BANDS, pa.int32()), pa.array(band.ravel().view(np.int64)))
                 own = [pa.array(counts, pa.int64()), pa.array([x.tobytes() for x in whole], pa.binary()), bands, pa.array([x.tobytes() for x in samples], pa.binary())]
                 yield pa.RecordBatch.from_arrays([b.column("id").slice(lo, hi - lo), b.column("h").slice(lo, hi - lo), *own], ["id", "h", "n_words", "rep", "bands", "samples"])
+        release()
 
     return docs.mapInArrow(run, f"id {kind}, h long, n_words long, rep binary, bands array<long>, samples binary")
 
@@ -199,6 +201,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, idf: Idf) -> DataFrame:
                     name, kept = b, _shingle_set(y.as_py(), shared.value)
                 found.append(weighted_jaccard(_shingle_set(x.as_py(), shared.value), kept))
             yield pa.RecordBatch.from_arrays([t.column("rep"), t.column("lead"), pa.array(found, pa.float64())], ["rep", "lead", "similarity"])
+        release()
 
     joined = pairs.join(left, "rep").join(right, "lead").select("rep", "lead", "x", "y")
     return joined.mapInArrow(run, "rep binary, lead binary, similarity double")
@@ -231,7 +234,8 @@ def _in_blocks(rows: DataFrame, tables: Scratch) -> DataFrame:
     n = rows.groupBy("band", "key").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("size") / BLOCK_BYTES)).cast("int").alias("n"))
     d = rows.join(tables.written(n), ["band", "key"]).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("n")).cast("int"))
     d = d.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    return d.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("n", "other", "size")
+    d = d.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("n", "other", "size")
+    return d.repartition("band", "key", "i", "j")  # else the join's dealing by bucket would do, all its blocks in one task
 
 
 def _open_pairs(t: pa.Table) -> Iterator[tuple[int, np.ndarray]]:
