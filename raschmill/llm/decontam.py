@@ -5,8 +5,8 @@ Words are lower-cased (A-Z) runs of digits, letters and non-ASCII characters. Ev
 hash set. Documents are scanned once: the hash of every word window is looked up, each hit is
 verified on the words themselves, and verified hits mark the words they cover.
 
-The set holds sorted arrays: a hash and a place for each window, and the benchmark's words once, about five
-bytes for each byte of ordinary text and 16 at worst (words of one letter). It is broadcast for MAX_BLOCK_BYTES of
+The set holds sorted arrays: a hash and a place for each window, and the benchmark's words once, about six
+bytes for each byte of ordinary text and 17 at worst (words of one letter). It is broadcast for MAX_BLOCK_BYTES of
 benchmark text at a time. A larger benchmark is split by item into blocks of about that size; the spans and
 items that a block finds travel with the document's row to the next block's pass (written to the shared folder between
 passes), so each row is judged by itself at every size, and no item is left out.
