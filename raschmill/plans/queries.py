@@ -18,7 +18,7 @@ from raschmill.operators import adaptive, moments, prep, reshape, scoring, simul
 from raschmill.operators import wle as wle_ops
 from raschmill.operators.fit import IrtModel, fit_irt
 from raschmill.operators.normalise import normalise
-from raschmill.plans.views import SQL, abilities, items, predicted, responses, scored, table
+from raschmill.plans.views import SQL, abilities, items, predicted, responses, scored, table, with_items
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -549,7 +549,7 @@ _WLE = _wle_sql()
 
 
 def _cells(spark, sf):
-    return wle_ops.cells(scored(spark, sf))
+    return wle_ops.cells(with_items(responses(spark, sf)))
 
 
 @query(_WLE + ' select id, "Scale", round(wle, 4) + 0.0 as wle from e')

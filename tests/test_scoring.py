@@ -129,3 +129,20 @@ def test_stream_of_answers_equals_batch(spark, tmp_path):
     q.stop()
     key = lambda r: (r["id"], str(r["window"]), r["n"], round(r["gradient"], 9), round(r["information"], 9))
     assert sorted(map(key, spark.table("sessions").collect())) == sorted(map(key, running_scores(df, bank).collect()))
+
+
+def test_wle_uses_arrays_of_whole_batches(spark, monkeypatch):
+    """Many persons in one pass, in slices of any size; no interpreted loop of the engine is left in the plan."""
+    rows = [(p, 1, i, 0.8 + 0.1 * i, i - 2.0, 0.1 * (i % 2), 1.0, int((p * 7 + i * 3) % 5 < 2)) for p in range(40) for i in range(5)]
+    c = wle_ops.cells(spark.createDataFrame(rows, "id int, Scale int, Item int, A double, B double, C double, D double, score int"))
+    df = wle_ops.wle(c)
+    assert "aggregate(sequence" not in df._jdf.queryExecution().optimizedPlan().toString()
+    want = {r["id"]: (r["wle"], r["wle_se"]) for r in df.collect()}
+    monkeypatch.setattr(wle_ops, "_CELLS", 1)
+    assert {r["id"]: (r["wle"], r["wle_se"]) for r in wle_ops.wle(c).collect()} == want and len(want) == 40
+
+
+def test_wle_without_information_is_null(spark):
+    c = wle_ops.cells(spark.createDataFrame([(1, 1, 1, 0.0, 0.0, 0.0, 1.0, 1), (2, 1, 2, 1.0, 0.0, 0.0, 1.0, 1)], "id int, Scale int, Item int, A double, B double, C double, D double, score int"))
+    got = {r["id"]: (r["wle"], r["wle_se"]) for r in wle_ops.wle(c).collect()}
+    assert got[1] == (None, None) and got[2][0] is not None
