@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from raschmill.functions.links import inv_logit, softplus
 from raschmill.functions.model import p_correct
 from raschmill.operators.normalise import normalise
-from raschmill.sources.responses import grid
+
+#: Items whose table goes to every task, so that answers stay where their person is.
+FEW = 100_000
 
 
 def linear(preds: dict[str, float]) -> Column:
@@ -20,14 +22,22 @@ def linear(preds: dict[str, float]) -> Column:
     return total
 
 
-def sim_persons(spark: SparkSession, n: int, corr: list[list[float]], mean: list[float], sd: list[float], seed: int = 1, covariates: DataFrame | None = None, effects: dict[int, dict[str, float]] | None = None) -> DataFrame:
+def _normal(key: str, seed: int) -> Column:
+    """A standard normal draw that depends on the key and the seed only, however rows are dealt (Box and Muller)."""
+    u = [(F.shiftrightunsigned(F.xxhash64(key, F.lit(2 * seed + j)), 11) + 0.5) * 2.0**-53 for j in range(2)]
+    return F.sqrt(-2 * F.ln(u[0])) * F.cos(2 * np.pi * u[1])
+
+
+def sim_persons(spark: SparkSession, n: int | DataFrame, corr: list[list[float]], mean: list[float], sd: list[float], seed: int = 1, covariates: DataFrame | None = None, effects: dict[int, dict[str, float]] | None = None) -> DataFrame:
     """id, Scale, ability with given correlations, means and deviations for each scale (1..).
 
+    n: so many persons, 1.., or a table with the id of each.
     covariates: id and the columns that ``effects`` names for a scale; they are added to its abilities.
     """
     k = len(mean)
     root = np.linalg.cholesky(np.array(corr, dtype=float)) * np.array(sd, dtype=float)[:, None]
-    df = spark.range(1, n + 1).select("id", *[F.randn(seed + j).alias(f"z{j}") for j in range(k)])
+    own, draw = (spark.range(1, n + 1), F.randn) if isinstance(n, int) else (n, lambda s: _normal("id", s))
+    df = own.select("id", *[draw(seed + j).alias(f"z{j}") for j in range(k)])
     values = []
     for i in range(k):
         total = F.lit(float(mean[i]))
@@ -67,29 +77,26 @@ def answer(rows: DataFrame, u: Column) -> DataFrame:
     return rows.withColumn("p", p).withColumn("score", (u < F.col("p")).cast("int"))
 
 
-def sim_irt(spark: SparkSession, persons: int = 100, items: int = 200, scales: int = 1, a_mean: float = 1.0, a_sd: float = 0.0, b_mean: float = 0.0, b_sd: float = 1.0, c_mean: float = -2.0, c_sd: float = 1.0, ability_mean: float = 0.0, ability_sd: float = 1.0, seed: int = 1, answered: int | None = None, item_covariates: DataFrame | None = None, item_effects: dict[str, dict[str, float]] | None = None, person_covariates: DataFrame | None = None, ability_effects: dict[int, dict[str, float]] | None = None, normal: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+def sim_irt(spark: SparkSession, persons: int | DataFrame = 100, items: int = 200, scales: int = 1, a_mean: float = 1.0, a_sd: float = 0.0, b_mean: float = 0.0, b_sd: float = 1.0, c_mean: float = -2.0, c_sd: float = 1.0, ability_mean: float = 0.0, ability_sd: float = 1.0, seed: int = 1, answered: int | None = None, item_covariates: DataFrame | None = None, item_effects: dict[str, dict[str, float]] | None = None, person_covariates: DataFrame | None = None, ability_effects: dict[int, dict[str, float]] | None = None, normal: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(answers, items, abilities). With ``answered``, each person has that many random items of each scale.
 
-    Covariates (by Item, by id) are added with their effects and come along on the answers. Items are keyed by number
-    over all scales, so covariates of one scale never drop the others. ``normal`` brings abilities to median 0 and
-    quartiles one apart, and items with them, before answers are drawn.
+    persons: so many, 1.., or a table with the id of each. Covariates (by Item, by id) are added with their effects and
+    come along on the answers. Items are keyed by number over all scales, so covariates of one scale never drop the
+    others. ``normal`` brings the abilities of each scale to median 0 and quartiles one apart, and its items with them,
+    before answers are drawn.
     """
     item = sim_items(spark, items, scales, a_mean, a_sd, b_mean, b_sd, c_mean, c_sd, seed + 100, natural_a=True, covariates=item_covariates, effects=item_effects)
     eye = np.eye(scales).tolist()
     person = sim_persons(spark, persons, eye, [ability_mean] * scales, [ability_sd] * scales, seed, person_covariates, ability_effects)
     if normal:
-        item, person = normalise(item, person)
-    rows = grid(spark, persons, items, scales).join(item, ["Item", "Scale"]).join(person, ["id", "Scale"])
-    rows = rows.withColumn("u", F.rand(seed + 200))
-    if answered is not None:
-        from pyspark.sql import Window
-
-        w = Window.partitionBy("id", "Scale").orderBy(F.xxhash64("id", "Item", F.lit(seed)))
-        rows = rows.withColumn("k", F.row_number().over(w)).where(F.col("k") <= answered)
-    rows = answer(rows, F.col("u"))
-    more = []
-    for key, side in (("Item", item_covariates), ("id", person_covariates)):
-        if side is not None:
-            rows = rows.join(side, key)
-            more += [c for c in side.columns if c != key]
+        item, person = normalise(item, person, by_scale=True)
+    rows = person if person_covariates is None else person.join(person_covariates, "id")
+    bank = item if item_covariates is None else item.join(item_covariates, "Item")
+    own = F.transform(F.sequence(F.lit(1), F.lit(items)), lambda i: (F.col("Scale") - 1) * items + i)
+    if answered is not None:  # chosen in the person's row, before there are rows of answers to be dealt out
+        own = F.transform(own, lambda i: F.struct(F.xxhash64("id", i, F.lit(seed)).alias("by"), i.alias("Item")))
+        own = F.slice(F.array_sort(own), 1, answered)["Item"]
+    rows = rows.withColumn("Item", F.explode(own)).join(F.broadcast(bank) if items * scales <= FEW else bank, ["Item", "Scale"])
+    rows = answer(rows.withColumn("u", F.rand(seed + 200)), F.col("u"))
+    more = [c for key, side in (("Item", item_covariates), ("id", person_covariates)) if side is not None for c in side.columns if c != key]
     return rows.select("id", "Item", "Scale", F.col("ability").alias("Ability"), "A", "B", "C", F.lit(0.0).alias("pcorrect"), "score", "p", *more), item, person

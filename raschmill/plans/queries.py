@@ -747,10 +747,10 @@ def sim_items(spark, sf):
 
 @query()
 def sim_with_covariates(spark, sf):
-    """Answers of simulated persons and items whose parameters depend on covariates."""
+    """Answers of simulated persons, one for each customer, to items; the parameters of both depend on covariates."""
     people = table(spark, sf, "customer").select(F.col("c_custkey").cast("long").alias("id"), (F.col("c_acctbal") / 10_000).alias("balance"))
     bank = spark.range(1, 41).select(F.col("id").alias("Item"), (F.col("id") * 7 % 11 / 10).alias("price"))
-    return simulate.sim_irt(spark, people.count(), 20, 2, answered=10, item_covariates=bank, item_effects={"B": {"price": 0.5}, "C": {"price": -0.2}}, person_covariates=people, ability_effects={1: {"balance": 0.8}, 2: {"balance": -0.3}}, normal=True)[0]
+    return simulate.sim_irt(spark, people.select("id"), 20, 2, answered=10, item_covariates=bank, item_effects={"B": {"price": 0.5}, "C": {"price": -0.2}}, person_covariates=people, ability_effects={1: {"balance": 0.8}, 2: {"balance": -0.3}}, normal=True)[0]
 
 
 @query()
